@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm import encoder as E
 from gridloom.llm.common import names_apart, token_file
@@ -33,7 +34,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             made = pa.ListArray.from_arrays(pa.array(offs), pa.array(values))
             yield pa.RecordBatch.from_arrays([*b.columns, made, pa.array(np.diff(offs).astype(np.int64))], [*keep, ids, n])
 
-    schema = docs.select(*keep).schema.add(ids, "array<int>").add(n, "long")
+    schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType())).add(n, "long")
     return docs.select(*keep).mapInArrow(run, schema)
 
 

@@ -56,3 +56,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         found = low.join(up, "low", "left").select("node", F.coalesce("top", "low").alias("component"))
         found = materialize(found, "components")
     return found
+
+
+def range_ranked(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """df, range-partitioned and sorted by keys, written, with __part (int) and __at (row in that partition, long).
+
+    __part rises with the keys. Rows that are equal in all keys are in one
+    partition, so give keys that few rows share.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return materialize(dealt.select("*", F.spark_partition_id().alias("__part"), low.bitwiseAND((1 << 33) - 1).alias("__at")), label)

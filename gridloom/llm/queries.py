@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe_codec, token_fertility
+from gridloom.llm import bpe_codec, curriculum, lsm_dedup, ring, token_fertility
 from gridloom.llm.common import documents
 from gridloom.runtime import ship
 
 
+def op3_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard_documents(documents(spark, sf_dir))
+
+
+def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm_dedup.dedup(documents(spark, sf_dir))
+
+
+def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(documents(spark, sf_dir))
 
@@ -19,7 +31,12 @@ def op8_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fertility.rules(documents(spark, sf_dir))
 
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op5_lsm_dedup": """
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
