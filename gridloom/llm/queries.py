@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe_codec, curriculum, lsm_dedup, ring, token_fertility
+from gridloom.llm import bpe_codec, curriculum, dac, gam, lsm_dedup, ring, token_fertility
 from gridloom.llm.common import documents
 from gridloom.runtime import ship
 
@@ -27,6 +27,14 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(documents(spark, sf_dir))
 
 
+def op4_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.token_files(documents(spark, sf_dir))
+
+
+def op7_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fertility.rules(documents(spark, sf_dir))
 
