@@ -49,14 +49,16 @@ def _integral(knots: Schedule) -> tuple[list[float], list[float], list[float]]:
 
 
 def plan(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", weights=default_weights, schedule=default_schedule, most: int = 3) -> DataFrame:
-    """docs with source_size, target, copies and positions (array of double, one for each copy that is taken).
+    """docs with source_size, target, taken, copies and positions (array of double, one for each copy that is taken).
 
     Inside a source, documents stand in the order of a hash of their key. The
-    source's words, repeated `most` times, form a line; a copy is taken if
-    its middle lies before the source's target, and its position is the time
-    at which the source's cumulative demand (target times the integral of its
-    schedule) reaches the copy's first word. So taken words differ from the
-    target by less than one document, and reruns agree.
+    source's words, repeated `most` times, form a line that is taken up to
+    the source's target; the position of a copy is the time at which the
+    source's cumulative demand (target times the integral of its schedule)
+    reaches the copy's first word. taken counts words: the last copy of a
+    source is cut at the target, so a source's taken words are its target
+    rounded down. positions and copies count whole copies: those whose middle
+    lies before the target. Reruns agree.
 
     Null sources are one source, the last; null sizes count as 0, and a
     document without words is never taken. Rows that agree in key and size
@@ -64,7 +66,7 @@ def plan(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     each partition and source leave the tasks. Columns with the new names are
     replaced. An empty table gives an empty result.
     """
-    made = ["source_size", "target", "copies", "positions"]
+    made = ["source_size", "target", "taken", "copies", "positions"]
     keep = [c for c in names_apart(docs, made)]
     rows = materialize(docs.select(*keep, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"), F.xxhash64(key).alias("__h")), "mix")
     spark = docs.sparkSession
@@ -93,8 +95,10 @@ def plan(docs: DataFrame, size: str = "size", source: str = "source", key: str =
 
     at = F.col("__before") + F.col("__in")
     places = [F.when((F.col("__size") > 0) & (k * F.col("source_size") + at + F.col("__size") / 2 <= F.col("target")), time_of(k * F.col("source_size") + at)) for k in range(most)]
+    end = F.floor(F.col("target") + 1e-6)
+    taken = sum(F.greatest(F.lit(0), F.least(F.col("__size"), end - k * F.col("source_size") - at)) for k in range(most))
     positions = F.filter(F.array(*places), lambda x: x.isNotNull())
-    return found.select(*keep, "source_size", "target", positions.alias("positions")).withColumn("copies", F.size("positions")).select(*keep, *made)
+    return found.select(*keep, "source_size", "target", taken.cast("long").alias("taken"), positions.alias("positions")).withColumn("copies", F.size("positions")).select(*keep, *made)
 
 
 def ordered(planned: DataFrame) -> DataFrame:
@@ -111,4 +115,4 @@ def mix(docs: DataFrame) -> DataFrame:
     """The query's rows, sorted by the position of a document's first copy; documents not taken come last."""
     small = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
     rows = plan(small)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.try_element_at("positions", F.lit(1)).alias("position"), "source").orderBy(F.asc_nulls_last("position"), "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"), "source").orderBy(F.asc_nulls_last("position"), "doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe_codec, curriculum, dac, gam, lsm_dedup, ring, token_fertility
+from gridloom.llm import bpe_codec, curriculum, dac, gam, licence_scan, lsm_dedup, ring, token_fertility
 from gridloom.llm.common import documents
 from gridloom.runtime import ship
 
@@ -19,6 +19,10 @@ def op5_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.dedup(documents(spark, sf_dir))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(documents(spark, sf_dir))
+
+
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(documents(spark, sf_dir))
 
