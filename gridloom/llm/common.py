@@ -68,3 +68,50 @@ def range_ranked(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     low = F.monotonically_increasing_id()
     dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     return materialize(dealt.select("*", F.spark_partition_id().alias("__part"), low.bitwiseAND((1 << 33) - 1).alias("__at")), label)
+
+
+def in_blocks(rows: DataFrame, group: str, key: str, weight: str, limit: int) -> DataFrame:
+    """rows with __i and __j, dealt out and sorted by (group, __i, __j), for work on all pairs of a group.
+
+    A group of a weight up to `limit` is one block (0, 0). A heavier one is
+    cut by a hash of key into k blocks of about limit / 2, and each of its
+    rows goes to the k block pairs that hold its block, so that every pair of
+    rows meets in some task and no task holds more than about `limit`.
+    """
+    sizes = rows.groupBy(group).agg(F.sum(weight).alias("__w")).where(F.col("__w") > limit)
+    heavy = sizes.select(F.col(group).alias("__g"), F.ceil(F.col("__w") * 2 / limit).cast("int").alias("__k"))
+    rows = rows.join(heavy, F.col(group) == F.col("__g"), "left").withColumn("__b", F.pmod(F.xxhash64(key), F.coalesce("__k", F.lit(1))).cast("int"))
+    rows = rows.withColumn("__x", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1)))
+    rows = rows.withColumn("__i", F.least("__b", "__x")).withColumn("__j", F.greatest("__b", "__x")).drop("__g", "__k", "__b", "__x")
+    return rows.repartition(group, "__i", "__j").sortWithinPartitions(group, "__i", "__j")
+
+
+def grouped(batches, names: list[str]):
+    """Lists of rows (tuples) that follow each other with equal values in the first three columns."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names)):
+            if row[:3] != now:
+                if held:
+                    yield held
+                now, held = row[:3], []
+            held.append(row)
+    if held:
+        yield held
+
+
+def small_or_shuffled(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `most_rows` rows (counted), else as it is; give narrow written tables."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def edge_table(u, v):
+    """Distinct pairs of two int64 arrays, as a record batch (u, v)."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], ["u", "v"])
