@@ -1,20 +1,57 @@
-"""The corpus pipeline: five stages, each one of the operators of gridloom.llm."""
+"""The corpus pipeline: five stages, each one of the operators of gridloom.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_codec
+from gridloom.llm import bpe_codec, curriculum, gam, line_dedup, ngram_join
+from gridloom.llm.common import small_or_shuffled
 from gridloom.runtime import materialize, ship
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    ship(spark)
+    return gam.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later matches of lines go from the texts; a document that has no word left thereby goes too."""
+    ship(spark)
+    out = line_dedup.dedup(docs, drop_emptied=True)
+    length = {"n_chars": F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return out.withColumns(length).select(*docs.columns)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are linked by 5-word shingles at a similarity of 0.8, the one with the smallest doc_id stays."""
+    ship(spark)
+    return ngram_join.keep_one(docs, k=5, percent=80)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it, in training order."""
+    ship(spark)
+    base = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-input")
+    small = base.select("__row", F.col("doc_id").cast("long"), F.col("source").cast("string"), curriculum.word_count(F.col("text")).alias("size"))
+    planned = materialize(curriculum.plan(small).where("copies > 0").select(F.col("__row").alias("__r"), "positions"), "mix-plan")
+    rows = base.join(small_or_shuffled(planned, 200_000), F.col("__row") == F.col("__r"))
+    return curriculum.ordered(rows).select(*docs.columns)
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every document that is left and decode it again."""
+    """Every document that is left, encoded and decoded."""
     ship(spark)
     return bpe_codec.digests(docs)
 
 
-STAGES = [("bpe_codec", bpe_stage)]
+STAGES = [("quality_classifier", quality_stage), ("line_dedup", line_stage), ("ngram_jaccard_join", near_copy_stage), ("source_mix", mix_stage), ("bpe_codec", bpe_stage)]
+#: The trained classifier and the encoder are beyond SQL; tests/llm compare with brute force.
 ORACLE_SQL = None
 
 

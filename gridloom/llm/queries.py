@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe_codec, curriculum, dac, gam, licence_scan, lsm_dedup, ngram_join, ring, token_fertility
+from gridloom.llm import bpe_codec, curriculum, dac, gam, licence_scan, line_dedup, lsm_dedup, ngram_join, ring, token_fertility
 from gridloom.llm.common import documents
 from gridloom.runtime import ship
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_gone", "text")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(documents(spark, sf_dir))
 
