@@ -44,3 +44,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load_all() -> None:
+    """Import the modules that register queries."""
+    from gridloom.plans import dax_queries, formula_queries, pq_queries, stat_queries  # noqa: F401
+
+
+_load_all()
