@@ -123,3 +123,14 @@ def shingle_sets(first: np.ndarray, hashes: np.ndarray, k: int):
             yield windows(hashes[a:b], b - a)
         else:
             yield hashes[:0]
+
+
+def small_batches(batches, at: int = 1, most: int = 4 << 20):
+    """The record batches cut into slices whose text column (at) has about `most` bytes, or one longer text."""
+    for b in batches:
+        _, offs = text_buffers(b.column(at))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
