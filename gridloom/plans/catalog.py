@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.runtime import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -38,8 +40,16 @@ def _group_sum(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count(F.lit(1)).alias("n"))
 
 
+def _shipped(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {k: _shipped(f) for k, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
