@@ -128,7 +128,7 @@ def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000) -> DataFra
             runs = [_merge(runs[k : k + _FAN]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), _FAN)]
         r = runs[0]
         many = r.counts > 1
-        raw = r.words[many].tobytes()
+        raw = r.words[many].astype(">u8").tobytes()
         ids = r.ids[many]
         return pa.table([pa.array([raw[k : k + digest_bytes] for k in range(0, len(raw), 32)], pa.binary()), pa.array(ids, mask=ids == _NONE), pa.array(r.rows[many]), pa.array(r.counts[many])], ["digest", "keep_id", "keep_row", "n"])
 
