@@ -75,22 +75,22 @@ def plan(docs: DataFrame, size: str = "size", source: str = "source", key: str =
     table = []
     for k, (s, n) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))):
         table.append((s, n, float(goal[s]), *_integral(schedule(k))))
-    per_source = spark.createDataFrame(table, "source string, source_size long, target double, times array<double>, heights array<double>, areas array<double>")
+    per_source = spark.createDataFrame(table, "__src string, source_size long, target double, __times array<double>, __heights array<double>, __areas array<double>")
     ranked = range_ranked(rows, [source, "__h", key, "__size"], "mix-ranked")
     seg = ranked.groupBy("__part", F.col(source).alias("__s")).agg(F.sum("__size").alias("__n"))
     line = Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("__before", F.coalesce(F.sum("__n").over(line), F.lit(0)))
-    seg = seg.join(per_source, F.col("__s").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("__part", "__p")
+    seg = seg.join(per_source, F.col("__s").eqNullSafe(F.col("__src"))).drop("__src").withColumnRenamed("__part", "__p")
     inner = Window.partitionBy("__part", source).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     found = ranked.withColumn("__in", F.coalesce(F.sum("__size").over(inner), F.lit(0))).join(seg, (F.col("__part") == F.col("__p")) & F.col(source).eqNullSafe(F.col("__s")))
 
     def time_of(word):
         y = word / F.col("target")
-        j = F.least(F.size(F.filter("areas", lambda a: a <= y)), F.size("areas") - 1)  # segment, from 1
-        left = F.try_element_at("times", j)
-        span = F.try_element_at("times", j + 1) - left
-        h, g = F.try_element_at("heights", j), F.try_element_at("heights", j + 1)
-        rest, bend = y - F.try_element_at("areas", j), (g - h) / span
+        j = F.least(F.size(F.filter("__areas", lambda a: a <= y)), F.size("__areas") - 1)  # segment, from 1
+        left = F.try_element_at("__times", j)
+        span = F.try_element_at("__times", j + 1) - left
+        h, g = F.try_element_at("__heights", j), F.try_element_at("__heights", j + 1)
+        rest, bend = y - F.try_element_at("__areas", j), (g - h) / span
         return F.least(F.lit(1.0), left + 2 * rest / (h + F.sqrt(F.greatest(h * h + 2 * bend * rest, F.lit(0.0)))))
 
     at = F.col("__before") + F.col("__in")

@@ -311,12 +311,12 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 5, drop_emptied: bool
     columns stay; those named n_lines or n_gone are replaced. Rows, repeated
     ones too, stay one by one. An empty table gives an empty result.
     """
-    gone = materialize(later_matches(docs, percent, least).withColumnRenamed("doc_id", "__doc"), "gone")
+    gone = materialize(later_matches(docs, percent, least).select(F.col("doc_id").alias("__doc"), F.col("gone").alias("__gone")), "gone")
     keep = names_apart(docs, ["n_lines", "n_gone"])
     lines = F.split(F.col("text"), "\n", -1)
     rows = docs.select(*keep).join(small_or_shuffled(gone, 200_000), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    left = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    out = rows.select(*[left.alias(c) if c == "text" else F.col(c) for c in keep], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))
+    left = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    out = rows.select(*[left.alias(c) if c == "text" else F.col(c) for c in keep], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_gone"))
     if drop_emptied:
         out = out.where((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out
