@@ -91,6 +91,10 @@ def wildcard_lookup(table: DataFrame, table_key: str, pattern: str, result: str)
     return add_row(table).where(F.col(table_key).rlike(wildcard(pattern))).agg(F.min_by(result, ROW).alias(result))
 
 
+def _start(x) -> Column:
+    return lit(float(x)) if isinstance(x, int) and not isinstance(x, bool) else col(x)
+
+
 # --- arrays as Columns
 define("INDEX", "array")(lambda a, r, c=None: F.try_element_at(a, _num(r).cast("int")) if c is None else F.try_element_at(F.try_element_at(a, _num(r).cast("int")), _num(c).cast("int")))
 define("TAKE", "array")(lambda a, n: F.when(_num(n) >= 0, F.slice(a, lit(1), F.least(_num(n).cast("int"), F.size(a)))).otherwise(F.slice(a, F.greatest(F.size(a) + _num(n).cast("int") + 1, lit(1)), F.size(a))))
@@ -100,8 +104,8 @@ define("SORTBY", "array")(lambda a, b, order=1: F.transform(F.sort_array(F.zip_w
 define("UNIQUE", "array")(lambda a, once=False: F.filter(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda w: w.eqNullSafe(v))) == 1) if once else F.array_distinct(a))
 define("FILTER", "array")(lambda a, mask: F.transform(F.filter(F.arrays_zip(a.alias("v"), mask.alias("m")), lambda s: s["m"].cast("boolean")), lambda s: s["v"]))
 define("MAP", "array")(lambda *xs: F.transform(xs[0], xs[1]) if len(xs) == 2 else F.zip_with(*xs))
-define("REDUCE", "array")(lambda start, a, f: F.aggregate(a, col(start), f))
-define("SCAN", "array")(lambda start, a, f: F.slice(F.aggregate(a, F.array(col(start)), lambda s, v: F.concat(s, F.array(f(F.element_at(s, -1), v)))), lit(2), F.size(a)))
+define("REDUCE", "array")(lambda start, a, f: F.aggregate(a, _start(start), f))
+define("SCAN", "array")(lambda start, a, f: F.slice(F.aggregate(a, F.array(_start(start)), lambda s, v: F.concat(s, F.array(f(F.element_at(s, -1), v)))), lit(2), F.size(a)))
 define("BYROW", "array")(lambda a, f: F.transform(a, f))
 define("TRANSPOSE", "array")(lambda a: F.transform(F.sequence(lit(1), F.size(F.element_at(a, 1))), lambda k: F.transform(a, lambda r: F.element_at(r, k))))
 define("BYCOL", "array")(lambda a, f: F.transform(F.transform(F.sequence(lit(1), F.size(F.element_at(a, 1))), lambda k: F.transform(a, lambda r: F.element_at(r, k))), f))

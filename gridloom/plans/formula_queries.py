@@ -12,12 +12,11 @@ c = F.col
 
 
 def _row(name, source, keep, made, sql):
-    """Scalars by row: made is {output: (function, *arguments)}."""
+    """Scalars by row: made gives {output: (function, *arguments)}; it is called when a session is there."""
 
     @register(name, sql)
     def run(spark, sf):
-        d = table(spark, sf, source)
-        return d.select(*keep, *[call(f, *a).alias(n) for n, (f, *a) in made.items()])
+        return table(spark, sf, source).select(*keep, *[call(f, *a).alias(n) for n, (f, *a) in made().items()])
 
 
 def _agg(name, source, by, made, sql, digits=6):
@@ -25,33 +24,33 @@ def _agg(name, source, by, made, sql, digits=6):
 
     @register(name, sql)
     def run(spark, sf):
-        out = table(spark, sf, source).groupBy(*by).agg(*[call(f, *a).alias(n) for n, (f, *a) in made.items()])
-        return out.select(*by, *[F.round(c(n), digits).alias(n) if dict(out.dtypes)[n] == "double" else c(n) for n in made])
-
-
-_agg("fx_sumifs", "lineitem", ["l_returnflag"], {"s": ("SUMIFS", c("l_quantity"), c("l_discount"), ">0.05", c("l_linestatus"), "O")}, "SELECT l_returnflag, coalesce(sum(l_quantity) FILTER (l_discount>0.05 AND l_linestatus='O'),0) AS s FROM lineitem GROUP BY 1")
-_agg("fx_countifs", "orders", ["o_orderpriority"], {"n": ("COUNTIFS", c("o_totalprice"), ">=100000", c("o_orderstatus"), "<>f")}, "SELECT o_orderpriority, count(*) FILTER (o_totalprice>=100000 AND o_orderstatus<>'F') AS n FROM orders GROUP BY 1")
-_agg("fx_averageifs", "orders", ["o_orderpriority"], {"a": ("AVERAGEIFS", c("o_totalprice"), c("o_orderstatus"), "o")}, "SELECT o_orderpriority, round(avg(o_totalprice) FILTER (o_orderstatus='O'),6) AS a FROM orders GROUP BY 1")
-_agg("fx_minmaxifs", "lineitem", ["l_returnflag"], {"lo": ("MINIFS", c("l_tax"), c("l_quantity"), ">49"), "hi": ("MAXIFS", c("l_tax"), c("l_quantity"), "<0")}, "SELECT l_returnflag, coalesce(min(l_tax) FILTER (l_quantity>49),0) AS lo, 0.0::double AS hi FROM lineitem GROUP BY 1")
-_agg("fx_countif_wildcard", "part", ["p_brand"], {"n": ("COUNTIF", c("p_type"), "*s?eel*")}, "SELECT p_brand, count(*) FILTER (regexp_matches(lower(p_type),'s.eel')) AS n FROM part GROUP BY 1")
-_agg("fx_subtotal", "lineitem", ["l_linestatus"], {"s": ("SUBTOTAL", 109, c("l_quantity"), c("l_discount") > 0.05), "n": ("SUBTOTAL", 2, c("l_quantity"))}, "SELECT l_linestatus, sum(l_quantity) FILTER (NOT l_discount>0.05) AS s, count(l_quantity) AS n FROM lineitem GROUP BY 1")
-_agg("fx_aggregate", "orders", ["o_orderstatus"], {"m": ("AGGREGATE", 12, 6, c("o_totalprice")), "k": ("AGGREGATE", 14, 6, c("o_totalprice"), 3)}, "SELECT o_orderstatus, median(o_totalprice) AS m, list_sort(list(o_totalprice),'DESC')[3] AS k FROM orders GROUP BY 1")
-_agg("fx_sumproduct", "lineitem", ["l_returnflag"], {"s": ("SUMPRODUCT", c("l_quantity"), c("l_tax"))}, "SELECT l_returnflag, round(sum(l_quantity*l_tax),6) AS s FROM lineitem GROUP BY 1")
-_agg("fx_percentile_inc", "orders", ["o_orderstatus"], {"p": ("PERCENTILE.INC", c("o_totalprice"), 0.9)}, "SELECT o_orderstatus, round(quantile_cont(o_totalprice,0.9),6) AS p FROM orders GROUP BY 1")
-_agg("fx_percentile_exc", "orders", ["o_orderstatus"], {"p": ("PERCENTILE.EXC", c("o_totalprice"), 0.9)}, "SELECT o_orderstatus, round(a[k]+(r-k)*(a[k+1]-a[k]),6) AS p FROM (SELECT o_orderstatus, list_sort(list(o_totalprice)) AS a, 0.9*(count(*)+1) AS r, floor(0.9*(count(*)+1))::int AS k FROM orders GROUP BY 1)", 6)
-_agg("fx_quartile", "orders", ["o_orderstatus"], {"q": ("QUARTILE", c("o_totalprice"), 3)}, "SELECT o_orderstatus, round(quantile_cont(o_totalprice,0.75),6) AS q FROM orders GROUP BY 1")
-_agg("fx_median", "lineitem", ["l_shipdate"], {"m": ("MEDIAN", c("l_extendedprice"))}, "SELECT l_shipdate, round(median(l_extendedprice),6) AS m FROM lineitem GROUP BY 1")
-_agg("fx_stdev_s", "orders", ["o_orderpriority"], {"s": ("STDEV.S", c("o_totalprice")), "p": ("STDEV.P", c("o_totalprice"))}, "SELECT o_orderpriority, round(stddev_samp(o_totalprice),4) AS s, round(stddev_pop(o_totalprice),4) AS p FROM orders GROUP BY 1", 4)
-_agg("fx_var_p", "lineitem", ["l_returnflag"], {"v": ("VAR.P", c("l_quantity")), "d": ("VAR.S", c("l_quantity"))}, "SELECT l_returnflag, round(var_pop(l_quantity),6) AS v, round(var_samp(l_quantity),6) AS d FROM lineitem GROUP BY 1")
-_agg("fx_correl", "lineitem", ["l_returnflag"], {"r": ("CORREL", c("l_quantity"), c("l_extendedprice"))}, "SELECT l_returnflag, round(corr(l_quantity,l_extendedprice),6) AS r FROM lineitem GROUP BY 1")
-_agg("fx_slope", "lineitem", ["l_returnflag"], {"b": ("SLOPE", c("l_extendedprice"), c("l_quantity")), "a": ("INTERCEPT", c("l_extendedprice"), c("l_quantity")), "r2": ("RSQ", c("l_extendedprice"), c("l_quantity"))}, "SELECT l_returnflag, round(regr_slope(l_extendedprice,l_quantity),4) AS b, round(regr_intercept(l_extendedprice,l_quantity),4) AS a, round(regr_r2(l_extendedprice,l_quantity),4) AS r2 FROM lineitem GROUP BY 1", 4)
-_agg("fx_forecast", "lineitem", ["l_linestatus"], {"f": ("FORECAST", 60, c("l_extendedprice"), c("l_quantity"))}, "SELECT l_linestatus, round(regr_intercept(l_extendedprice,l_quantity)+60*regr_slope(l_extendedprice,l_quantity),4) AS f FROM lineitem GROUP BY 1", 4)
-_agg("fx_trimmean", "orders", ["o_orderstatus"], {"t": ("TRIMMEAN", c("o_totalprice"), 0.2)}, "SELECT o_orderstatus, round(avg(o_totalprice) FILTER (r > k AND r <= n - k),4) AS t FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n, floor(count(*) OVER (PARTITION BY o_orderstatus)*0.2/2) AS k FROM orders) GROUP BY 1", 4)
-_agg("fx_geomean_harmean", "lineitem", ["l_returnflag"], {"g": ("GEOMEAN", c("l_quantity")), "h": ("HARMEAN", c("l_quantity"))}, "SELECT l_returnflag, round(exp(avg(ln(l_quantity))),6) AS g, round(count(*)/sum(1/l_quantity),6) AS h FROM lineitem GROUP BY 1")
-_agg("fx_skew_kurt", "orders", ["o_orderstatus"], {"s": ("SKEW", c("o_totalprice")), "k": ("KURT", c("o_totalprice"))}, "SELECT o_orderstatus, round(skewness(o_totalprice),5) AS s, round(kurtosis(o_totalprice),5) AS k FROM orders GROUP BY 1", 5)
-_agg("fx_large_small", "customer", ["c_mktsegment"], {"l": ("LARGE", c("c_acctbal"), 2), "s": ("SMALL", c("c_acctbal"), 3)}, "SELECT c_mktsegment, list_sort(list(c_acctbal),'DESC')[2] AS l, list_sort(list(c_acctbal))[3] AS s FROM customer GROUP BY 1")
-_agg("fx_sums", "lineitem", ["l_returnflag"], {"q": ("SUMSQ", c("l_quantity")), "d": ("SUMXMY2", c("l_quantity"), c("l_tax")), "v": ("DEVSQ", c("l_quantity"))}, "SELECT l_returnflag, round(sum(l_quantity*l_quantity),3) AS q, round(sum((l_quantity-l_tax)*(l_quantity-l_tax)),3) AS d, round(var_pop(l_quantity)*count(*),3) AS v FROM lineitem GROUP BY 1", 3)
-_agg("fx_counts", "events", ["event_type"], {"n": ("COUNT", c("value")), "a": ("COUNTA", c("props")), "b": ("COUNTBLANK", c("props"))}, "SELECT event_type, count(value) AS n, count(props) AS a, count(*) FILTER (props IS NULL OR props='') AS b FROM events GROUP BY 1")
+        out = table(spark, sf, source).groupBy(*by).agg(*[call(f, *a).alias(n) for n, (f, *a) in made().items()])
+        return out.select(*by, *[F.round(c(n), digits).alias(n) if dict(out.dtypes)[n] == "double" else c(n) for n in out.columns if n not in by])
+
+
+_agg("fx_sumifs", "lineitem", ["l_returnflag"], lambda: {"s": ("SUMIFS", c("l_quantity"), c("l_discount"), ">0.05", c("l_linestatus"), "O")}, "SELECT l_returnflag, coalesce(sum(l_quantity) FILTER (l_discount>0.05 AND l_linestatus='O'),0) AS s FROM lineitem GROUP BY 1")
+_agg("fx_countifs", "orders", ["o_orderpriority"], lambda: {"n": ("COUNTIFS", c("o_totalprice"), ">=100000", c("o_orderstatus"), "<>f")}, "SELECT o_orderpriority, count(*) FILTER (o_totalprice>=100000 AND o_orderstatus<>'F') AS n FROM orders GROUP BY 1")
+_agg("fx_averageifs", "orders", ["o_orderpriority"], lambda: {"a": ("AVERAGEIFS", c("o_totalprice"), c("o_orderstatus"), "o")}, "SELECT o_orderpriority, round(avg(o_totalprice) FILTER (o_orderstatus='O'),6) AS a FROM orders GROUP BY 1")
+_agg("fx_minmaxifs", "lineitem", ["l_returnflag"], lambda: {"lo": ("MINIFS", c("l_tax"), c("l_quantity"), ">49"), "hi": ("MAXIFS", c("l_tax"), c("l_quantity"), "<0")}, "SELECT l_returnflag, coalesce(min(l_tax) FILTER (l_quantity>49),0) AS lo, 0.0::double AS hi FROM lineitem GROUP BY 1")
+_agg("fx_countif_wildcard", "part", ["p_brand"], lambda: {"n": ("COUNTIF", c("p_type"), "*s?eel*")}, "SELECT p_brand, count(*) FILTER (regexp_matches(lower(p_type),'s.eel')) AS n FROM part GROUP BY 1")
+_agg("fx_subtotal", "lineitem", ["l_linestatus"], lambda: {"s": ("SUBTOTAL", 109, c("l_quantity"), c("l_discount") > 0.05), "n": ("SUBTOTAL", 2, c("l_quantity"))}, "SELECT l_linestatus, sum(l_quantity) FILTER (NOT l_discount>0.05) AS s, count(l_quantity) AS n FROM lineitem GROUP BY 1")
+_agg("fx_aggregate", "orders", ["o_orderstatus"], lambda: {"m": ("AGGREGATE", 12, 6, c("o_totalprice")), "k": ("AGGREGATE", 14, 6, c("o_totalprice"), 3)}, "SELECT o_orderstatus, median(o_totalprice) AS m, list_sort(list(o_totalprice),'DESC')[3] AS k FROM orders GROUP BY 1")
+_agg("fx_sumproduct", "lineitem", ["l_returnflag"], lambda: {"s": ("SUMPRODUCT", c("l_quantity"), c("l_tax"))}, "SELECT l_returnflag, round(sum(l_quantity*l_tax),6) AS s FROM lineitem GROUP BY 1")
+_agg("fx_percentile_inc", "orders", ["o_orderstatus"], lambda: {"p": ("PERCENTILE.INC", c("o_totalprice"), 0.9)}, "SELECT o_orderstatus, round(quantile_cont(o_totalprice,0.9),6) AS p FROM orders GROUP BY 1")
+_agg("fx_percentile_exc", "orders", ["o_orderstatus"], lambda: {"p": ("PERCENTILE.EXC", c("o_totalprice"), 0.9)}, "SELECT o_orderstatus, round(a[k]+(r-k)*(a[k+1]-a[k]),6) AS p FROM (SELECT o_orderstatus, list_sort(list(o_totalprice)) AS a, 0.9*(count(*)+1) AS r, floor(0.9*(count(*)+1))::int AS k FROM orders GROUP BY 1)", 6)
+_agg("fx_quartile", "orders", ["o_orderstatus"], lambda: {"q": ("QUARTILE", c("o_totalprice"), 3)}, "SELECT o_orderstatus, round(quantile_cont(o_totalprice,0.75),6) AS q FROM orders GROUP BY 1")
+_agg("fx_median", "lineitem", ["l_shipdate"], lambda: {"m": ("MEDIAN", c("l_extendedprice"))}, "SELECT l_shipdate, round(median(l_extendedprice),6) AS m FROM lineitem GROUP BY 1")
+_agg("fx_stdev_s", "orders", ["o_orderpriority"], lambda: {"s": ("STDEV.S", c("o_totalprice")), "p": ("STDEV.P", c("o_totalprice"))}, "SELECT o_orderpriority, round(stddev_samp(o_totalprice),4) AS s, round(stddev_pop(o_totalprice),4) AS p FROM orders GROUP BY 1", 4)
+_agg("fx_var_p", "lineitem", ["l_returnflag"], lambda: {"v": ("VAR.P", c("l_quantity")), "d": ("VAR.S", c("l_quantity"))}, "SELECT l_returnflag, round(var_pop(l_quantity),6) AS v, round(var_samp(l_quantity),6) AS d FROM lineitem GROUP BY 1")
+_agg("fx_correl", "lineitem", ["l_returnflag"], lambda: {"r": ("CORREL", c("l_quantity"), c("l_extendedprice"))}, "SELECT l_returnflag, round(corr(l_quantity,l_extendedprice),6) AS r FROM lineitem GROUP BY 1")
+_agg("fx_slope", "lineitem", ["l_returnflag"], lambda: {"b": ("SLOPE", c("l_extendedprice"), c("l_quantity")), "a": ("INTERCEPT", c("l_extendedprice"), c("l_quantity")), "r2": ("RSQ", c("l_extendedprice"), c("l_quantity"))}, "SELECT l_returnflag, round(regr_slope(l_extendedprice,l_quantity),4) AS b, round(regr_intercept(l_extendedprice,l_quantity),4) AS a, round(regr_r2(l_extendedprice,l_quantity),4) AS r2 FROM lineitem GROUP BY 1", 4)
+_agg("fx_forecast", "lineitem", ["l_linestatus"], lambda: {"f": ("FORECAST", 60, c("l_extendedprice"), c("l_quantity"))}, "SELECT l_linestatus, round(regr_intercept(l_extendedprice,l_quantity)+60*regr_slope(l_extendedprice,l_quantity),4) AS f FROM lineitem GROUP BY 1", 4)
+_agg("fx_trimmean", "orders", ["o_orderstatus"], lambda: {"t": ("TRIMMEAN", c("o_totalprice"), 0.2)}, "SELECT o_orderstatus, round(avg(o_totalprice) FILTER (r > k AND r <= n - k),4) AS t FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n, floor(count(*) OVER (PARTITION BY o_orderstatus)*0.2/2) AS k FROM orders) GROUP BY 1", 4)
+_agg("fx_geomean_harmean", "lineitem", ["l_returnflag"], lambda: {"g": ("GEOMEAN", c("l_quantity")), "h": ("HARMEAN", c("l_quantity"))}, "SELECT l_returnflag, round(exp(avg(ln(l_quantity))),6) AS g, round(count(*)/sum(1/l_quantity),6) AS h FROM lineitem GROUP BY 1")
+_agg("fx_skew_kurt", "orders", ["o_orderstatus"], lambda: {"s": ("SKEW", c("o_totalprice")), "k": ("KURT", c("o_totalprice"))}, "SELECT o_orderstatus, round(skewness(o_totalprice),5) AS s, round(kurtosis(o_totalprice),5) AS k FROM orders GROUP BY 1", 5)
+_agg("fx_large_small", "customer", ["c_mktsegment"], lambda: {"l": ("LARGE", c("c_acctbal"), 2), "s": ("SMALL", c("c_acctbal"), 3)}, "SELECT c_mktsegment, list_sort(list(c_acctbal),'DESC')[2] AS l, list_sort(list(c_acctbal))[3] AS s FROM customer GROUP BY 1")
+_agg("fx_sums", "lineitem", ["l_returnflag"], lambda: {"q": ("SUMSQ", c("l_quantity")), "d": ("SUMXMY2", c("l_quantity"), c("l_tax")), "v": ("DEVSQ", c("l_quantity"))}, "SELECT l_returnflag, round(sum(l_quantity*l_quantity),3) AS q, round(sum((l_quantity-l_tax)*(l_quantity-l_tax)),3) AS d, round(var_pop(l_quantity)*count(*),3) AS v FROM lineitem GROUP BY 1", 3)
+_agg("fx_counts", "events", ["event_type"], lambda: {"n": ("COUNT", c("value")), "a": ("COUNTA", c("props")), "b": ("COUNTBLANK", c("props"))}, "SELECT event_type, count(value) AS n, count(props) AS a, count(*) FILTER (props IS NULL OR props='') AS b FROM events GROUP BY 1")
 
 
 def _lookup(name, sql, f):
@@ -84,8 +83,8 @@ def _prank(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", call("PERCENTRANK.INC", c("o_totalprice"), 3, ["o_custkey"]).alias("p"))
 
 
-_row("fx_text", "customer", ["c_custkey"], {"u": ("UPPER", c("c_name")), "l": ("LEFT", c("c_name"), 5), "r": ("RIGHT", c("c_name"), 3), "m": ("MID", c("c_name"), 2, 4), "n": ("LEN", c("c_name")), "s": ("SUBSTITUTE", c("c_name"), "0", "o"), "f": ("FIND", "#", c("c_name"))}, "SELECT c_custkey, upper(c_name) AS u, left(c_name,5) AS l, right(c_name,3) AS r, substring(c_name,2,4) AS m, length(c_name)::int AS n, replace(c_name,'0','o') AS s, nullif(instr(c_name,'#'),0)::int AS f FROM customer")
-_row("fx_textjoin", "nation", ["n_nationkey"], {"j": ("TEXTJOIN", "-", True, c("n_name"), "", c("n_regionkey")), "t": ("TRIM", F.concat(F.lit("  "), c("n_name"), F.lit("  x ")))}, "SELECT n_nationkey, n_name || '-' || n_regionkey AS j, n_name || ' x' AS t FROM nation")
+_row("fx_text", "customer", ["c_custkey"], lambda: {"u": ("UPPER", c("c_name")), "l": ("LEFT", c("c_name"), 5), "r": ("RIGHT", c("c_name"), 3), "m": ("MID", c("c_name"), 2, 4), "n": ("LEN", c("c_name")), "s": ("SUBSTITUTE", c("c_name"), "0", "o"), "f": ("FIND", "#", c("c_name"))}, "SELECT c_custkey, upper(c_name) AS u, left(c_name,5) AS l, right(c_name,3) AS r, substring(c_name,2,4) AS m, length(c_name)::int AS n, replace(c_name,'0','o') AS s, nullif(instr(c_name,'#'),0)::int AS f FROM customer")
+_row("fx_textjoin", "nation", ["n_nationkey"], lambda: {"j": ("TEXTJOIN", "-", True, c("n_name"), "", c("n_regionkey")), "t": ("TRIM", F.concat(F.lit("  "), c("n_name"), F.lit("  x ")))}, "SELECT n_nationkey, n_name || '-' || n_regionkey AS j, n_name || ' x' AS t FROM nation")
 
 
 @register("fx_textsplit", "SELECT c_custkey, string_split(c_name,'#')[2] AS s FROM customer")

@@ -21,6 +21,6 @@ def spark():
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
-    s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
