@@ -26,36 +26,76 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+class Forest:
+    """Union-find over any ids, with the smallest id of each tree as its root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, i: int) -> int:
+        up = self.up
+        root = i
+        while (j := up.setdefault(root, root)) != root:
+            root = j
+        while i != root:
+            up[i], i = root, up[i]
+        return root
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
+def _forest(batches):
+    """Edges of a partition as (node, root) of its own trees; loops and null ends are left out."""
+    import pyarrow as pa
+
+    f = Forest()
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if u is not None and v is not None and u != v:
+                f.join(u, v)
+    pairs = [(f.top(i), i) for i in list(f.up)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    for k in range(0, len(pairs), 100_000):
+        part = pairs[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, last: int = 200_000) -> DataFrame:
     """(node, component) for every node of edges (u long, v long); component is the smallest node reachable.
 
-    Each round maps every node to the smallest of itself and its neighbours
-    and contracts the edges along that map; the chain of maps is then followed
-    back. Rounds grow with the logarithm of the longest shortest path. Only
-    map-side combined minima and joins are used: a node with very many
-    neighbours meets partial aggregates, and adaptive execution splits it in
-    joins. Null ends and loops are ignored. Nothing is collected.
+    Each task first joins the edges of its partition into trees, which leaves
+    at most one edge for each node that it saw. Each round then maps every
+    node to the smallest of itself and its neighbours and contracts the edges
+    along that map; once `last` edges or fewer are left, one task joins them.
+    The chain of maps is followed back at the end. Rounds grow with the
+    logarithm of the longest shortest path. A node with very many neighbours
+    meets partial aggregates, and adaptive execution splits it in joins. Null
+    ends and loops are ignored. Nothing but a count reaches the driver.
     """
-    edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    current = materialize(both, "edges")
+    current = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_forest, "u long, v long").distinct(), "edges")
     maps = []
-    while not current.isEmpty():
+    while n := current.count():
+        if n <= last:
+            trees = current.coalesce(1).mapInArrow(_forest, "u long, v long")
+            maps.append(materialize(trees.select(F.col("v").alias("node"), F.col("u").alias("low")), "low"))
+            break
         ends = current.select(F.col("v").alias("node"), F.col("u").alias("near")).unionByName(current.select(F.col("u").alias("node"), F.col("u").alias("near")))
         low = materialize(ends.groupBy("node").agg(F.min("near").alias("low")), "low")
         maps.append(low)
         a = low.select(F.col("node").alias("u"), F.col("low").alias("lu"))
         b = low.select(F.col("node").alias("v"), F.col("low").alias("lv"))
-        moved = current.join(a, "u").join(b, "v").where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
-        current = materialize(moved, "edges")
+        moved = current.join(a, "u").join(b, "v").where("lu <> lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v"))
+        current = materialize(moved.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     if not maps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+        return edges.select(F.col("u").cast("long").alias("node"), F.col("v").cast("long").alias("component")).limit(0)
     found = maps[-1].select("node", F.col("low").alias("component"))
     for low in reversed(maps[:-1]):
         up = found.select(F.col("node").alias("low"), F.col("component").alias("top"))
-        found = low.join(up, "low", "left").select("node", F.coalesce("top", "low").alias("component"))
-        found = materialize(found, "components")
-    return found
+        found = materialize(low.join(up, "low", "left").select("node", F.coalesce("top", "low").alias("component")), "components")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
 
 
 def range_ranked(df: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -79,8 +119,8 @@ def in_blocks(rows: DataFrame, group: str, key: str, weight: str, limit: int) ->
     rows meets in some task and no task holds more than about `limit`.
     """
     sizes = rows.groupBy(group).agg(F.sum(weight).alias("__w")).where(F.col("__w") > limit)
-    heavy = sizes.select(F.col(group).alias("__g"), F.ceil(F.col("__w") * 2 / limit).cast("int").alias("__k"))
-    rows = rows.join(heavy, F.col(group) == F.col("__g"), "left").withColumn("__b", F.pmod(F.xxhash64(key), F.coalesce("__k", F.lit(1))).cast("int"))
+    heavy = materialize(sizes.select(F.col(group).alias("__g"), F.ceil(F.col("__w") * 2 / limit).cast("int").alias("__k")), "heavy")
+    rows = rows.join(small_or_shuffled(heavy), F.col(group) == F.col("__g"), "left").withColumn("__b", F.pmod(F.xxhash64(key), F.coalesce("__k", F.lit(1))).cast("int"))
     rows = rows.withColumn("__x", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1)))
     rows = rows.withColumn("__i", F.least("__b", "__x")).withColumn("__j", F.greatest("__b", "__x")).drop("__g", "__k", "__b", "__x")
     return rows.repartition(group, "__i", "__j").sortWithinPartitions(group, "__i", "__j")

@@ -154,7 +154,7 @@ def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     return out
 
 
-def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 4_000_000) -> DataFrame:
+def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a text's set
