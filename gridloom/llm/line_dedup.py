@@ -97,7 +97,7 @@ def rarity(base: DataFrame, least: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << _SLOT_BITS, np.uint32)
         seen: set[int] = set()
-        for b in W.small_batches(batches, most=16 << 20):
+        for b in W.small_batches(batches, most=3 << 20):
             lines = Lines(b.column(1), least)
             token, _ = lines.take(lines.fresh(seen))
             slots, n = np.unique(_slot(token), return_counts=True)
@@ -244,7 +244,7 @@ def later_matches(docs: DataFrame, percent: int = 80, least: int = 5, block: int
     def prefixes(batches):
         ranks = np.frombuffer(table.value, np.uint8)
         seen: set[int] = set()
-        for b in W.small_batches(batches, most=16 << 20):
+        for b in W.small_batches(batches, most=3 << 20):
             lines = Lines(b.column(1), least)
             pick = lines.fresh(seen)
             token, size = lines.take(pick)
@@ -271,7 +271,7 @@ def later_matches(docs: DataFrame, percent: int = 80, least: int = 5, block: int
     def positions(batches):
         maybe = np.frombuffer(known.value, np.uint8)
         seen: set[int] = set()
-        for b in W.small_batches(batches, most=16 << 20):
+        for b in W.small_batches(batches, most=3 << 20):
             lines = Lines(b.column(1), least)
             n = len(lines.key)
             doc = np.array(b.column(0).fill_null(_NONE))[lines.text] if n else np.zeros(0, np.int64)

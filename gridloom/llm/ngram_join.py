@@ -177,7 +177,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000)
 
     def route(batches):
         seen: dict[bytes, int] = {}
-        for b in W.small_batches(batches, most=16 << 20):
+        for b in W.small_batches(batches, most=3 << 20):
             keys, owners, many, same, rep = [], [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
                 if i is None or not len(s):
@@ -223,7 +223,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000)
     candidates = materialize(connected_components(edges.where("NOT sure").select("u", "v")).select(F.col("node").alias("__node"), F.col("component").alias("comp")), "candidates")
 
     def fetch(batches):
-        for b in W.small_batches(batches, most=16 << 20):
+        for b in W.small_batches(batches, most=3 << 20):
             n, blobs = [], []
             for comp, s in zip(b.column(2).to_pylist(), sets_of(b.column(1))):
                 n.append(len(s))

@@ -115,23 +115,41 @@ def features(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang).mapInArrow(run, FEATURES)
 
 
-MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+#: What the bands bound, and the least interquartile range of each.
+MEASURES = {"chars_off": 0.5, "fallback_share": 0.02, "entropy_off": 0.005}
 
 
-def bands(rows: DataFrame, width: float = 3.0, floor: float = 0.02) -> DataFrame:
+def deviations(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """rows with chars_off and entropy_off: what is left of characters per token and token entropy once length is allowed for.
+
+    The mean of a text's characters per token strays from its band's median
+    as 1 / sqrt(words), and its entropy falls with the logarithm of its
+    words, along a line that is fitted to the band.
+    """
+    r = rows.join(fitted, "band", "left")
+    size = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    return r.withColumn("chars_off", (F.col("chars_per_token") - F.col("middle")) * F.sqrt(size)).withColumn("entropy_off", F.col("token_entropy") - F.col("level") - F.col("slope") * F.ln(size)).drop("middle", "level", "slope")
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """For each band: the median of characters per token, and the line of entropy over the logarithm of words."""
+    x = F.ln(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+    slope = F.regr_slope("token_entropy", x)
+    return rows.groupBy("band").agg(F.percentile_approx("chars_per_token", 0.5, 10_000).alias("middle"), F.coalesce(slope, F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept("token_entropy", x), F.avg("token_entropy")).alias("level"))
+
+
+def bands(rows: DataFrame, width: float = 5.0) -> DataFrame:
     """For each band, the accepted range of each measure: quartiles widened by `width` interquartile ranges.
 
-    All rows that pass the base rules count. `floor` is the least
-    interquartile range, so that a measure that hardly varies (the byte share
-    of plain Latin text is 0) does not reject small deviations.
+    The least ranges of MEASURES keep a measure that hardly varies (the byte
+    share of plain Latin text is 0) from rejecting small deviations.
     """
     aggs = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
-    q = rows.groupBy("band").agg(*aggs)
     cols = [F.col("band")]
-    for m in MEASURES:
-        spread = F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(floor))
+    for m, least in MEASURES.items():
+        spread = F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(least))
         cols += [(F.col(m)[0] - width * spread).alias(f"{m}_low"), (F.col(m)[1] + width * spread).alias(f"{m}_high")]
-    return q.select(*cols)
+    return rows.groupBy("band").agg(*aggs).select(*cols)
 
 
 def rules(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -144,9 +162,11 @@ def rules(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     rows = features(docs, path).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = materialize(rows, "fertility")
+    fitted = materialize(fit(rows.where(~F.col("base_failed"))), "fitted")
+    rows = deviations(rows, fitted)
     ranges = materialize(bands(rows.where(~F.col("base_failed"))), "bands")
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
     joined = rows.join(ranges, "band", "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *MEASURES)
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "chars_per_token", "fallback_share", "token_entropy")
