@@ -153,23 +153,25 @@ def _entries(token: np.ndarray, size: np.ndarray, key: np.ndarray, table: np.nda
     return out
 
 
-def _join_large(e: np.ndarray, percent: int, out: list) -> None:
-    """Edges that connect the sets of one word as their fitting pairs do; rows of one root are not compared again."""
+def _join_large(e: np.ndarray, percent: int, out: list, rows: int = 128, cols: int = 4096) -> None:
+    """Edges that connect the sets of one word as their fitting pairs do, in tiles; tiles of one root are passed over."""
     e = e[np.argsort(e["size"], kind="stable")]
     root = np.arange(len(e))
     top = np.searchsorted(e["size"], e["size"] * 100 // percent, side="right")
-    for i in range(len(e)):
-        cols = np.arange(i + 1, top[i])
-        cols = cols[root[cols] != root[i]]
-        while len(cols):
-            hit = cols[_fits(np.broadcast_to(e[i], len(cols)), e[cols], percent)]
-            if not len(hit):
-                break
-            for r in np.unique(root[hit]).tolist():
-                j = int(hit[root[hit] == r][0])
-                out.append((e["set"][i], e["set"][j]))
-                root[root == r] = root[i]
-            break
+    for i in range(0, len(e), rows):
+        x = np.arange(i, min(len(e), i + rows))
+        for j in range(i, int(top[x[-1]]), cols):
+            y = np.arange(j, min(int(top[x[-1]]), j + cols))
+            if (root[x] == root[x[0]]).all() and (root[y] == root[x[0]]).all():
+                continue
+            fit = _fits(e[x][:, None], e[y][None, :], percent) & (y[None, :] > x[:, None])
+            while (apart := fit & (root[x][:, None] != root[y][None, :])).any():
+                first = apart.argmax(axis=0)
+                for c in np.flatnonzero(apart[first, np.arange(len(y))]).tolist():
+                    u, v = x[first[c]], y[c]
+                    if root[u] != root[v]:
+                        out.append((e["set"][u], e["set"][v]))
+                        root[root == root[v]] = root[u]
 
 
 def meet(entries: np.ndarray, percent: int, most: int = 64) -> pa.RecordBatch:
