@@ -171,7 +171,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x array of double) of every whole text."""
 
     def run(batches):
-        for b in W.small_batches(batches):
+        for b in W.small_batches(batches, most=1 << 19):
             x = measure(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))], ["doc_id", "x"])
 
@@ -223,7 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataF
     at = names.index("text")
 
     def run(batches):
-        for b in W.small_batches(batches, at):
+        for b in W.small_batches(batches, at, 1 << 19):
             text = b.column(at)
             yield b.filter(pa.array(model.score(measure(text.cast(pa.string()))) >= 0.5))
 
