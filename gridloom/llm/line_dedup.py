@@ -22,7 +22,7 @@ from gridloom.runtime import materialize
 _U = np.uint64
 _NONE = np.iinfo(np.int64).min
 TOKEN_BITS = 44
-_SLOT_BITS = 22
+_SLOT_BITS = 24
 _RANGES = 64
 _BITMAP_BITS = 24
 
@@ -88,24 +88,24 @@ def _slot(token: np.ndarray) -> np.ndarray:
 
 
 def rarity(base: DataFrame, least: int) -> np.ndarray:
-    """A rank for each of 2**22 slots of words, by the lines that hold a word of the slot: 0, 1, then by logarithm.
+    """A rank for each of 2**24 slots of words, by the lines that hold a word of the slot: 0, 1, then by logarithm.
 
     The table has that size for every input. Rank 1 means that one line set
     of one task holds the only word of this slot.
     """
 
     def count(batches):
-        total = np.zeros(1 << _SLOT_BITS, np.uint32)
+        total = np.zeros(1 << _SLOT_BITS, np.uint16)  # a task's counts end at 65,535
         seen: set[int] = set()
-        for b in W.small_batches(batches, most=3 << 20):
+        for b in W.small_batches(batches, most=2 << 20):
             lines = Lines(b.column(1), least)
             token, _ = lines.take(lines.fresh(seen))
             slots, n = np.unique(_slot(token), return_counts=True)
-            total[slots] += n.astype(np.uint32)
+            total[slots] = np.minimum(total[slots] + n, 65_535)
         for r, part in enumerate(np.split(total, _RANGES)):
             at = np.flatnonzero(part).astype(np.uint32)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["r", "slots", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].astype(np.uint32).tobytes()], pa.binary())], ["r", "slots", "counts"])
 
     def ranks(table: pa.Table) -> pa.Table:
         total = np.zeros((1 << _SLOT_BITS) // _RANGES, np.int64)
@@ -246,7 +246,7 @@ def later_matches(docs: DataFrame, percent: int = 80, least: int = 5, block: int
     def prefixes(batches):
         ranks = np.frombuffer(table.value, np.uint8)
         seen: set[int] = set()
-        for b in W.small_batches(batches, most=3 << 20):
+        for b in W.small_batches(batches, most=2 << 20):
             lines = Lines(b.column(1), least)
             pick = lines.fresh(seen)
             token, size = lines.take(pick)
@@ -273,7 +273,7 @@ def later_matches(docs: DataFrame, percent: int = 80, least: int = 5, block: int
     def positions(batches):
         maybe = np.frombuffer(known.value, np.uint8)
         seen: set[int] = set()
-        for b in W.small_batches(batches, most=3 << 20):
+        for b in W.small_batches(batches, most=2 << 20):
             lines = Lines(b.column(1), least)
             n = len(lines.key)
             doc = np.array(b.column(0).fill_null(_NONE))[lines.text] if n else np.zeros(0, np.int64)
