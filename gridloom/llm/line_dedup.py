@@ -234,20 +234,23 @@ def earliest(rows: list[tuple], percent: int) -> list[tuple[int, int, int]]:
 def later_matches(docs: DataFrame, percent: int = 80, least: int = 5, block: int = 2_000_000) -> DataFrame:
     """(doc_id, gone): the line numbers (from 0) that go, for each doc_id that loses lines.
 
-    Lines with fewer than `least` distinct words never match. A null doc_id
+    Lines with fewer than `least` distinct words never match (dedup asks for
+    one word). Sets too small to reach the similarity with any other set meet
+    equal ones by their key alone and stay out of the join. A null doc_id
     is before all others. Rows with one doc_id share their positions, so
     equal lines at equal numbers of such rows do not remove each other.
     """
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(rarity(base, least).tobytes())
+    joined = max(least, -(-percent // max(1, 100 - percent)))  # a set of n words nears another at n / (n + 1) at best
+    table = spark.sparkContext.broadcast(rarity(base, joined).tobytes())
 
     def prefixes(batches):
         ranks = np.frombuffer(table.value, np.uint8)
         seen: set[int] = set()
         for b in W.small_batches(batches, most=2 << 20):
-            lines = Lines(b.column(1), least)
+            lines = Lines(b.column(1), joined)
             pick = lines.fresh(seen)
             token, size = lines.take(pick)
             e = _entries(token, size, lines.key[pick], ranks, percent)
@@ -305,7 +308,7 @@ def later_matches(docs: DataFrame, percent: int = 80, least: int = 5, block: int
     return gone.select(F.nullif(F.col("doc"), F.lit(_NONE)).alias("doc_id"), "gone")
 
 
-def dedup(docs: DataFrame, percent: int = 80, least: int = 5, drop_emptied: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, least: int = 1, drop_emptied: bool = False) -> DataFrame:
     """docs with the remaining lines as text, and n_lines, n_gone (long) before and after.
 
     Null texts stay null with no lines; an empty text has one line. With

@@ -56,6 +56,20 @@ def test_line_dedup_against_all_pairs(spark, block):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_line_dedup_of_short_lines_against_all_pairs(spark, percent):
+    short = ["All rights reserved.", "les.", "LES.", "", " ", "a b c d", "a b c", "d c b a e", "a a b b", "b a", "x y z", "x y z w v"]
+    rng = random.Random(8)
+    data = [*H.rows(n=20), *((6000 + i, "\n".join(rng.choices(short, k=3)), None, None, 0) for i in range(12))]
+    want = H.gone_lines(data, percent, least=1)
+    assert len(want) > len(H.gone_lines(data, percent))
+    got = {(r["doc_id"], k) for r in line_dedup.later_matches(H.frame(spark, data), percent, least=1).collect() for k in r["gone"]}
+    assert got == want
+    if percent == 80:
+        out = line_dedup.dedup(H.frame(spark, data)).select("doc_id", "n_gone").distinct().collect()
+        assert {r["doc_id"]: r["n_gone"] for r in out} == {i: sum(d == i for d, _ in want) for i in {d for d, *_ in data}}
+
+
 def test_line_dedup_keeps_rows_columns_and_empty_tables(spark):
     df = H.frame(spark, extra=("n_lines", "gone", "tokens", "__doc2"))
     out = line_dedup.dedup(df)
