@@ -28,6 +28,19 @@ TEMPLATES = {
     "proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.", "All rights reserved."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.", "SPDX-License-Identifier: Unlicense"],
 }
+#: Whole paragraphs of the standard texts. Families that share a paragraph have it once.
+PARAGRAPHS = {
+    "agpl": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.", "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "apache": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "This project is licensed under the Apache License 2.0 - see the LICENSE file for details."],
+    "bsd": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "This project is licensed under the BSD 3-Clause License - see the LICENSE file for details."],
+    "gpl": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This project is licensed under the GNU General Public License v3.0 - see the LICENSE file for details."],
+    "isc": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "lgpl": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.", "You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "This project is licensed under the MIT License - see the LICENSE file for details."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "unlicense": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."],
+}
+TEMPLATES = {f: ts + PARAGRAPHS.get(f, []) for f, ts in TEMPLATES.items()}
 #: Sentences that use such words without stating a licence.
 NEGATIVES = ["The driver renewed her license at the office on Monday.", "He lost his fishing licence in the public park.", "Copyright law is debated in many countries.", "You need permission to enter the building after six.", "The warranty of the car ends next year.", "She asked for permission to leave early and it was granted.", "The general public was invited to the free concert.", "The apache helicopter landed near the village.", "The foundation published a report on software prices.", "A license plate was found on the road.", "The creative commons room of the school is open to the public.", "Version 2 of the plan was distributed to all members.", "They sell and distribute fruit with a trading licence.", "His copy of the book was licensed to the library for one year.", "The software industry grew in the last decade.", "This domain of science is public and open.", "We reserved all rooms; the rights of guests are respected.", "The mit students built a robot.", "The university granted a copyright prize without restriction of age.", "The notice on the door says that no dogs are permitted."]
 #: Stems without which a paragraph has no feature, so that it cannot be a licence for this model.
@@ -41,6 +54,11 @@ def grams(text: str) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+def pairs(text: str) -> set[str]:
+    """The distinct word bigrams of a paragraph."""
+    return {g for g in grams(text) if " " in g}
+
+
 def _training() -> tuple[list[set[str]], list[int], list[str]]:
     """Templates, their pieces and negatives; pieces come from every third and half of a notice, negatives from every pair too."""
     families = [*sorted(TEMPLATES), UNKNOWN]
@@ -84,31 +102,41 @@ class LicenceModel:
         # calibration: the temperature under which the training pieces are likeliest
         z = x @ w + b
         self.heat = max(np.linspace(0.25, 3, 56), key=lambda h: float((np.log(self._softmax(z / h)[np.arange(len(z)), labels]) * weight).sum()))
+        self.at = at
+        self.texts = [(f, pairs(t), *self._class(grams(t))) for f in self.families[:-1] for t in TEMPLATES[f]]
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=-1, keepdims=True))
         return e / e.sum(axis=-1, keepdims=True)
 
+    def _class(self, s: set[str]) -> tuple[str, float]:
+        """The likeliest family of a set of n-grams, and its probability."""
+        z = self.weights[[self.at[g] for g in s if g in self.at]].sum(axis=0) / np.sqrt(max(1, len(s))) + self.bias
+        p = self._softmax(z / self.heat)
+        return self.families[int(p.argmax())], float(p.max())
+
+    def spans(self, least: float, contained: float) -> list[tuple[int, int, float, str]]:
+        """(template, bigrams that must be met, probability, family) of each template that the classifier knows as its family's."""
+        return [(i, int(np.ceil(contained * len(g) - 1e-9)), p, f) for i, (f, g, k, p) in enumerate(self.texts) if k == f and p >= least]
+
     def table(self) -> list[tuple[str, list[float], list[bool]]]:
         """(n-gram, weight of each family, whether each family's templates hold it); as many rows as the notices have n-grams."""
         held = [set().union(*map(grams, TEMPLATES[f])) for f in self.families[:-1]]
         return [(g, [float(v) for v in self.weights[i]], [g in h for h in held]) for i, g in enumerate(self.features) if np.any(self.weights[i]) or any(g in h for h in held)]
 
-    def classify(self, text: str, least: float, confirm: float) -> str:
+    def classify(self, text: str, least: float, confirm: float, contained: float = 0.8) -> str:
         """One paragraph in plain Python: what the DataFrame path gives too."""
         s = grams(text)
         if not any(a in text.lower() for a in ANCHORS):
             return UNKNOWN
-        at = {g: i for i, g in enumerate(self.features)}
-        known = [at[g] for g in s if g in at]
-        z = self.weights[known].sum(axis=0) / np.sqrt(max(1, len(s))) + self.bias
-        p = self._softmax(z / self.heat)
-        k = int(p.argmax())
-        if k == len(self.families) - 1 or p[k] < least:
-            return UNKNOWN
-        held = set().union(*map(grams, TEMPLATES[self.families[k]]))
-        return self.families[k] if sum(g in held for g in s) >= confirm * len(s) else UNKNOWN
+        family, p = self._class(s)
+        if family != UNKNOWN and p >= least:
+            held = set().union(*map(grams, TEMPLATES[family]))
+            if sum(g in held for g in s) >= confirm * len(s):
+                return family
+        met = [(len(self.texts[i][1] & s), p, -i, f) for i, need, p, f in self.spans(least, contained) if len(self.texts[i][1] & s) >= need]
+        return max(met)[3] if met else UNKNOWN
 
 
 _models: list[LicenceModel] = []
@@ -124,13 +152,16 @@ def _anchored(lowered: Column) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(a) for a in ANCHORS])
 
 
-def scan(docs: DataFrame, least: float = 0.5, confirm: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.5, confirm: float = 0.6, contained: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_licences, families (sorted, joined by commas), top_family, top_score.
 
     A paragraph is a line with a character other than white space. It counts
     as a licence if a family has a probability of `least` or more and
-    `confirm` or more of its n-grams stand in that family's templates; else
-    it is unknown. Nulls and empty texts have no paragraphs. Repeated rows
+    `confirm` or more of its n-grams stand in that family's templates. Else,
+    for a notice inside a longer line, it counts as the template of which it
+    holds most word pairs, if these are `contained` or more of the template's
+    and the classifier knows the template itself; the score is then the
+    template's. Else it is unknown. Nulls and empty texts have no paragraphs. Repeated rows
     are scanned one by one (a row number tells them apart). Only the model
     (a few thousand n-grams, fixed by the templates) is broadcast. Documents
     without any anchor stem skip the classifier: for them the unknown class
@@ -156,7 +187,19 @@ def scan(docs: DataFrame, least: float = 0.5, confirm: float = 0.6) -> DataFrame
     best = best.withColumn("score", 1 / F.aggregate(F.transform("z", lambda z: F.exp(z - F.col("top"))), F.lit(0.0), lambda a, b: a + b)).withColumn("at", (F.array_position("z", F.col("top")) - 1).cast("int"))
     held = F.element_at(F.array(*[F.col(f"h{i}") for i in range(k)], F.lit(0)), F.col("at") + 1)
     sure = best.where((F.col("at") < k) & (F.col("score") >= least) & (held >= confirm * F.col("n")))
-    sure = sure.withColumn("family", F.element_at(F.array(*map(F.lit, m.families)), F.col("at") + 1))
+    sure = sure.select("row", "par", F.lit(1).alias("whole"), F.lit(0).alias("met"), "score", F.lit(0).alias("t"), F.element_at(F.array(*map(F.lit, m.families)), F.col("at") + 1).alias("family"))
+    spans = m.spans(least, contained)
+    of: dict[str, list[int]] = {}
+    for i, *_ in spans:
+        for g in m.texts[i][1]:
+            of.setdefault(g, []).append(i)
+    grams_of = spark.createDataFrame(list(of.items()), "gram string, ts array<int>")
+    needs = spark.createDataFrame(spans, "t int, need int, score double, family string")
+    met = par.select("row", "par", F.explode("grams").alias("gram")).join(F.broadcast(grams_of), "gram").select("row", "par", F.explode("ts").alias("t"))
+    met = met.groupBy("row", "par", "t").agg(F.count(F.lit(1)).alias("met")).join(F.broadcast(needs), "t").where("met >= need")
+    met = met.select("row", "par", F.lit(0).alias("whole"), F.col("met").cast("int"), "score", -F.col("t"), "family").toDF(*sure.columns)
+    pick = F.max(F.struct("whole", "met", "score", "t", "family"))
+    sure = sure.unionByName(met).groupBy("row", "par").agg(pick.alias("b")).select("row", "par", "b.score", "b.family")
     per_row = sure.groupBy("row").agg(F.count(F.lit(1)).alias("n_licences"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max(F.struct("score", (-F.col("par")).alias("p"), "family")).alias("b"))
     out = base.select("row", "doc_id", "n_paragraphs").join(per_row, "row", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_licences", F.lit(0)).alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"), F.col("b.family").alias("top_family"), F.round("b.score", 6).alias("top_score"))

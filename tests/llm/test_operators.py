@@ -367,6 +367,27 @@ def test_licence_model_on_held_out_wordings():
         assert m.classify(text, 0.5, 0.6) == family, text
 
 
+def test_licence_scan_finds_standard_paragraphs_and_notices_in_long_lines(spark):
+    story = "the river ran past the old mill where nobody had lived for years and the birds came back each spring " * 8
+    want = {
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "mit",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.": "gpl",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.": "bsd",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "unlicense",
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "mit",
+        story + "Licensed under the Apache License, Version 2.0. " + story: "apache",
+        story + "Licensed under CC BY-NC 4.0. " + story: "cc-by-nc",
+        story + "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License. " + story: "lgpl",
+        story + "a license plate was found by the public " + story: "",
+    }
+    got = licence_scan.scan(H.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(want)])).collect()
+    assert {r["doc_id"]: r["families"] for r in got} == dict(enumerate(want.values()))
+    assert all(r["n_licences"] == (r["families"] != "") and (r["top_family"] or "") == r["families"] for r in got)
+    m = licence_scan.model()
+    assert [m.classify(t, 0.5, 0.6) for t in want] == [f or "unknown" for f in want.values()]
+    assert {m.classify(t, 0.5, 0.6) for t in licence_scan.NEGATIVES} == {"unknown"}
+
+
 def test_licence_scan_runs_no_python(spark):
     plan = licence_scan.scan(H.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
