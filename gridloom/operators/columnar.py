@@ -56,13 +56,19 @@ def iqr(df: DataFrame, column: str, width: float = 1.5) -> DataFrame:
     return out.where((x < F.col("__a") - width * (F.col("__b") - F.col("__a"))) | (x > F.col("__b") + width * (F.col("__b") - F.col("__a")))).drop("__a", "__b")
 
 
-def isolation_forest(df: DataFrame, column: str, trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
-    """df with score (0 to 1, higher: more isolated). Trees grow on the driver from a bounded sample; scoring is a vectorised map."""
+def isolation_forest(df: DataFrame, column: str, trees: int = 50, sample: int = 256, seed: int = 7, key: list[str] | None = None) -> DataFrame:
+    """df with score (0 to 1, higher: more isolated). Trees grow on the driver from a bounded sample; scoring is a vectorised map.
+
+    The sample is uniform over rows: those with the smallest hashes of `key`,
+    columns that tell all rows apart, or without it of the rows' numbers, which
+    depend on how the table is partitioned.
+    """
     import math
 
     import numpy as np
 
-    rows = df.where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(sample * 8).select(F.col(column).cast("double")).toPandas().iloc[:, 0].to_numpy()
+    row = F.xxhash64(*(key or [F.monotonically_increasing_id()]))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), row.alias("row")).orderBy("row").limit(sample * 8).select("v").toPandas().iloc[:, 0].to_numpy()
     rng = np.random.default_rng(seed)
     norm = lambda n: 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n > 1)
     size = min(sample, len(rows))

@@ -81,7 +81,7 @@ def _iqr(d):
     return C.iqr(d, "value", 0.3).select("event_id")
 
 
-register("stat_isolation_forest")(lambda spark, sf: C.isolation_forest(table(spark, sf, "events"), "value").select("event_id", "score"))
+register("stat_isolation_forest")(lambda spark, sf: C.isolation_forest(table(spark, sf, "events"), "value", key=["event_id"]).select("event_id", "score"))
 
 
 @_q("stat_correlation", "lineitem", "SELECT round(corr(l_quantity, l_extendedprice),8) AS correlation FROM lineitem")

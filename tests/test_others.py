@@ -40,6 +40,15 @@ def test_statistics(spark):
     assert [r[0] for r in s.collect()] == ["2", "10", "a", "B", "true", "#DIV/0!", None]
 
 
+@pytest.mark.parametrize("key", [None, ["i"]])
+def test_isolation_forest_samples_rows_not_values(spark, key):
+    values = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    hot = values.orderBy(F.xxhash64("v")).first()["v"]
+    data = [(i, hot) for i in range(2500)] + [(2500 + i, float(i % 100)) for i in range(2500)] + [(5000, 1000.0)]
+    got = {r["v"]: r["score"] for r in C.isolation_forest(spark.createDataFrame(data, "i long, v double"), "v", key=key).collect()}
+    assert got[hot] == min(got.values()) < got[1000.0] and len(set(got.values())) > 20
+
+
 def test_upsert(spark):
     base = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "c", 0)], "k int, v string, t int")
     delta = spark.createDataFrame([(2, "B", 1, False), (2, "BB", 2, False), (3, None, 1, True), (4, "d", 1, False)], "k int, v string, t int, gone boolean")
