@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own_scratch: dict[str, str] = {}
+_written: dict[int, tuple] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,4 +54,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gridloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[id(back)] = (weakref.ref(back), path)
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote for these tables; call it when everything that reads them has been written."""
+    for df in tables:
+        ref, path = _written.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
