@@ -22,6 +22,13 @@ def names_apart(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
