@@ -16,8 +16,11 @@ import re
 from array import array
 from operator import add
 
+import numpy as np
 from tokenizers import Tokenizer, models
 
+from gridloom.llm import words as W
+
 
 def _byte_sign(b: int) -> str:
     """The character that stands for a byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
@@ -26,19 +29,24 @@ def _byte_sign(b: int) -> str:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and forgets the less recent half beyond 2 * limit entries."""
+    """A dict that computes what it lacks and forgets the less recent half beyond about 2 * limit bytes."""
 
-    def __init__(self, compute, limit: int = 300_000):
+    def __init__(self, compute, limit: int = 48 << 20):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.used, self.old = compute, limit, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
+        size = 220 + 2 * len(key) + (len(value) if isinstance(value, (bytes, str)) else sum(map(len, value)))
+        if size > self.limit >> 3:
+            return value  # one very long run
+        if self.used >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.used = 0
+        self.used += size
         self[key] = value
         return value
 
@@ -72,7 +80,7 @@ class CutEncoder:
             raise ValueError("added tokens are needed to match raw text")
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.name = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.pretokens = Memo(self._pretoken, 250_000)
+        self.pretokens = Memo(self._pretoken)
         # letters that are composed already and lower-case one by one, then ASCII signs that form one pre-token
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)\Z").match
         self.signs = str.maketrans({chr(c): "".join(map(_byte_sign, chr(c).encode())) for c in (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))})
@@ -142,6 +150,25 @@ def encode_packed(path: str, text: str) -> bytes:
     return b"".join(map(memo.__getitem__, enc.words(text)))
 
 
+def encode_column(path: str, column) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts of an Arrow column one after the other, where each text's begin and the last one's end).
+
+    Runs between white space are told apart by their 64-bit hashes and then
+    by their bytes, so that each different one is looked up once.
+    """
+    enc = encoder(path)
+    memo = _bytes_memo.get(path)
+    if memo is None:
+        memo = _bytes_memo[path] = Memo(enc.run)
+    data, offs = W.text_buffers(column)
+    first, hashes, starts, ends = W.word_hashes(data, offs, lower=False, spans=True)
+    at, which = W.distinct_runs(data, hashes, starts, ends)
+    raw = data.tobytes()
+    codes = [memo[raw[a:b].decode()] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+    ids, edge = W.spread(np.array([len(c) >> 2 for c in codes], np.int64), which, np.frombuffer(b"".join(codes), np.uint32))
+    return ids, edge[first]
+
+
 def _written(enc: CutEncoder, run: str) -> tuple[str, str]:
     ids = memoryview(enc.run(run)).cast("I")
     return " ".join(map(str, ids)), " ".join(map(enc.name.__getitem__, ids))
@@ -152,7 +179,7 @@ def encode_texts(path: str, text: str) -> tuple[str, str]:
     enc = encoder(path)
     memo = _text_memo.get(path)
     if memo is None:
-        memo = _text_memo[path] = Memo(lambda w: _written(enc, w), 150_000)
+        memo = _text_memo[path] = Memo(lambda w: _written(enc, w))
     both = list(map(memo.__getitem__, enc.words(text)))
     if ("", "") in both:  # a run without ids
         both = [x for x in both if x[0]]

@@ -98,6 +98,24 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = F
     return (first, cat(hashes, _U), all_starts, cat(ends, np.int64)) if spans else (first, cat(hashes, _U))
 
 
+def distinct_runs(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each kind, kind of each word): words of one hash are one kind if their bytes agree too."""
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends - starts
+    place = np.flatnonzero(~IS_SPACE[data])
+    if (size != size[at][which]).any() or (data[place] != data[place - np.repeat(starts - starts[at][which], size)]).any():
+        at = which = np.arange(len(hashes))
+    return at, which
+
+
+def spread(own: np.ndarray, which: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of each word one after the other, where each word's begin and the last one's end); flat holds own[k] values for each kind k."""
+    head = np.concatenate((np.zeros(1, np.int64), np.cumsum(own)))
+    many = own[which]
+    edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+    return flat[np.repeat(head[:-1][which] - edge[:-1], many) + np.arange(edge[-1])], edge
+
+
 _FACTORS = mix(np.arange(1, 65, dtype=_U)) | _U(1)
 
 
