@@ -11,15 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.runtime import materialize
 
-_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id in runs
 _FAN = 8
-_FILTER_BITS = 24
-
-
-def folded(text: bytes | None) -> bytes:
-    """UTF-8 with A-Z lower-cased; null counts as empty."""
-    return (text or b"").translate(_FOLD)
 
 
 def _filter(keys: np.ndarray) -> np.ndarray:
@@ -93,17 +86,17 @@ def _flush(table: dict[bytes, tuple[int, int, int]], buckets: int):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in RUNS.split(", ")])
 
 
-def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000) -> DataFrame:
+def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000, bucket_rows: int = 500_000) -> DataFrame:
     """(digest, keep_id, keep_row, n) of the digests that two or more rows of (doc_id, row_id, sha) share.
 
     Each task fills memtables of at most `memtable` digests and flushes them
     as sorted runs with filters. Compaction merges the runs of a bucket, eight
     at a time, and keeps the largest doc_id, then the smallest row_id. A group
     of copies is one entry in each memtable, so no bucket holds more than its
-    share of distinct digests and one entry for each flush.
+    share of distinct digests and one entry for each flush. There is a bucket
+    for every `bucket_rows` rows, so buckets do not grow with the input.
     """
-    spark = rows.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bucket_rows))
 
     def fill(batches):
         table: dict[bytes, tuple[int, int, int]] = {}
@@ -136,40 +129,44 @@ def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000) -> DataFra
     return runs.groupBy("bucket").applyInArrow(compact, "digest binary, keep_id long, keep_row long, n long")
 
 
+def _folded(text) -> F.Column:
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def collisions(docs: DataFrame, found: DataFrame, digest_bytes: int) -> DataFrame:
     """Digests of the index under which texts of different bytes are found: the byte verification of all hits.
 
-    A bitmap of 2 ** 24 bits tells which rows may be hits; it has that size
-    for every input. A task compares the bytes of each hit with the first
-    text of that digest that it met and passes on one copy of each text, so a
-    large group costs one text for each task.
+    Flags tell which rows may be hits; there are 16 for each digest of the
+    index, 2 ** 28 at most (beyond that more rows are looked at, with the same
+    result). A task compares the bytes of each hit with the first text of that
+    digest that it met and passes on a length and a second hash of each text,
+    which the tasks' findings are compared by, so no text leaves a task.
     """
-    place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    if digest_bytes < 4:
-        place = F.conv(F.rpad(F.hex("digest"), 8, "0"), 16, 10).cast("long")
-    place = F.shiftright(place, 32 - _FILTER_BITS) + 1
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, found.count()))), 20, 28))
+    place = F.shiftright(F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long"), 32 - bits) + 1
     maps = found.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    bits = np.zeros(1 << _FILTER_BITS >> 3, np.uint8)
+    flags = np.zeros(1 << bits >> 3, np.uint8)
     for r in maps:
-        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+        flags[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(flags.tobytes())
 
     def hits(batches):
         known = np.frombuffer(shared.value, np.uint8)
         seen: dict[bytes, bytes] = {}
         for b in batches:
+            digests = b.column(0).to_pylist()
+            at = np.array([int.from_bytes(d[:4].ljust(4, b"\0"), "big") >> (32 - bits) for d in digests], np.int64)
             out = []
-            for raw in b.column(0).to_pylist():
-                text = folded(raw)
-                d = hashlib.sha256(text).digest()[:digest_bytes]
-                at = int.from_bytes(d[:4].ljust(4, b"\0"), "big") >> (32 - _FILTER_BITS)
-                if known[at >> 3] >> (at & 7) & 1 and seen.get(d) != text:  # bytes against bytes
-                    if d not in seen:
-                        seen[d] = text
-                    out.append((d, text))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["digest", "text"])
-
-    texts = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(hits, "digest binary, text binary").distinct()
+            for i in np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).tolist():
+                d, text = digests[i], b.column(1)[i].as_py()
+                if seen.get(d) != text:  # bytes against bytes
+                    seen.setdefault(d, text)
+                    out.append((d, len(text), hashlib.blake2b(text, digest_size=16).digest()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in ((0, pa.binary()), (1, pa.int64()), (2, pa.binary()))], ["digest", "size", "second"])
+
+    text = _folded(F.col("text"))
+    rows = docs.select(F.substring(F.unhex(F.sha2(text, 256)), 1, digest_bytes).alias("digest"), text.cast("binary").alias("text"))
+    texts = rows.mapInArrow(hits, "digest binary, size long, second binary").distinct()
     return texts.groupBy("digest").count().where("count > 1").select("digest")
 
 
@@ -180,16 +177,12 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, memtable: int = 50_000) -> Da
     the one with the largest doc_id stays; a null doc_id is below all others,
     and of rows with the same doc_id exactly one stays. `digest_bytes` below
     32 makes different texts share digests; byte verification finds these,
-    and their rows are grouped by the texts themselves. An empty table gives
-    an empty result; other columns are not read.
+    and their rows are grouped by the texts themselves. Very long texts are
+    hashed and compared whole. An empty table gives an empty result; other
+    columns are not read.
     """
-
-    def hashed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(folded(t)).digest() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "sha"])
-
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = materialize(base.mapInArrow(hashed, "doc_id long, sha binary").withColumn("row_id", F.monotonically_increasing_id()), "digests")
+    base = docs.select(F.col("doc_id").cast("long"), _folded(F.col("text")).cast("binary").alias("text"))
+    rows = materialize(base.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).withColumn("row_id", F.monotonically_increasing_id()), "digests")
     found = materialize(index(rows, digest_bytes, memtable), "index")
     bad = materialize(collisions(docs, found, digest_bytes), "collisions")
     rows = rows.withColumn("digest", F.substring("sha", 1, digest_bytes))
@@ -202,12 +195,7 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, memtable: int = 50_000) -> Da
     if bad.isEmpty():
         return result
 
-    def texts(batches):
-        for b in batches:
-            t = [folded(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.binary()), pa.array([hashlib.sha256(x).digest() for x in t], pa.binary())], ["doc_id", "text", "sha"])
-
-    again = base.mapInArrow(texts, "doc_id long, text binary, sha binary").withColumn("digest", F.substring("sha", 1, digest_bytes)).join(bad, "digest", "left_semi")
+    again = base.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("digest", F.substring("sha", 1, digest_bytes)).join(bad, "digest", "left_semi")
     again = materialize(again.withColumn("row_id", F.monotonically_increasing_id()), "collided")
     best = again.groupBy("text").agg(F.max(F.struct(F.col("doc_id"), (-F.col("row_id")).alias("r"))).alias("best"), F.count(F.lit(1)).alias("n"))
     more = again.join(best, "text").select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row_id") == -F.col("best.r")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
