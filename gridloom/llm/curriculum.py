@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import names_apart, range_ranked
+from gridloom.llm.common import free_name, names_apart, range_ranked, small_or_shuffled
 from gridloom.runtime import materialize
 
 Schedule = list[tuple[float, float]]
@@ -107,12 +107,31 @@ def ordered(planned: DataFrame) -> DataFrame:
     return rows.orderBy("position", *[c for c in ("doc_id",) if c in rows.columns])
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Every row of docs as often as the mix takes it, range-sorted by training position; columns unchanged.
+
+    Size is the number of words of the text. Null and empty texts have size 0
+    and are never taken; null sources are one source. Rows, repeated ones too,
+    are told apart by a row number, very long texts count whole. An empty
+    table gives an empty result.
+    """
+    row, other, at = (free_name(docs, n) for n in ("__row", "__taken", "__position"))
+    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")
+    small = base.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    planned = plan(small).where("copies > 0").select(F.col("row").alias(other), F.explode("positions").alias(at))
+    rows = base.join(small_or_shuffled(materialize(planned, "mix-plan"), 200_000), F.col(row) == F.col(other))
+    return rows.orderBy(at, "doc_id", row).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def word_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The query's rows, sorted by the position of a document's first copy; documents not taken come last."""
+    """The query's rows, sorted by the position of a document's first copy; documents not taken come last.
+
+    Null and empty texts have size 0 and taken 0. Only doc_id, source and text are read.
+    """
     small = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
     rows = plan(small)
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"), "source").orderBy(F.asc_nulls_last("position"), "doc_id")

@@ -55,13 +55,14 @@ def assign(docs: DataFrame, shards: int = 24, virtual: int = 64, slack: float =
     the number of keys in each arc (shards * virtual of them) and in each
     partition reaches the driver, whatever the input size. A null key hashes
     like any other value. Rows with one key, repeated rows too, are rows of
-    their own and may go to neighbouring shards when one is full. Columns
-    named shard or slot are replaced. An empty table gives an empty result.
+    their own and may go to neighbouring shards when one is full; they stand
+    in the order of a hash of all their columns, so reruns agree and a hot key
+    is spread over partitions. Texts are not read here. Columns named shard or slot are replaced. An empty table gives an empty result.
     """
     tokens, owner = ring_points(shards, virtual)
     keep = names_apart(docs, ["shard", "slot"])
-    placed = docs.select(*keep, F.xxhash64(key).alias("__pos"))
-    ranked = range_ranked(materialize(placed, "ring"), ["__pos", key], "ring-ranked")
+    placed = docs.select(*keep, F.xxhash64(key).alias("__pos"), F.xxhash64(*[F.col(f"`{c}`") for c in keep]).alias("__tie"))
+    ranked = range_ranked(materialize(placed, "ring"), ["__pos", key, "__tie"], "ring-ranked")
 
     def arcs(batches):
         for b in batches:
@@ -102,7 +103,11 @@ def assign(docs: DataFrame, shards: int = 24, virtual: int = 64, slack: float =
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """The query's rows: law "rows", as the bounds of the loads are counts of documents."""
+    """The query's rows: law "rows", as the bounds of the loads are counts of documents.
+
+    Null and empty texts have size 8 and checksum 0; very long ones are read
+    whole. Rows with one doc_id, or none, are told apart as assign says.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     small = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return assign(small, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
