@@ -1 +1 @@
-"""gridloom: a PySpark-native analytics engine (steps, star models, formulas, statistics)."""
+"""gridloom: a PySpark-native analytics engine (steps, star models, cell functions, statistics)."""

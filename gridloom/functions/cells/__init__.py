@@ -1,4 +1,4 @@
-"""The formula function library: name -> function of Columns (or of DataFrames for table functions).
+"""The cell function library: name -> function of Columns (or of DataFrames for table functions).
 
 REGISTRY holds Function(name, kind, call, least, most). Kinds: scalar (Columns
 in, Column out), aggregate (Columns in, aggregate Column out), window, array
@@ -47,4 +47,4 @@ def call(name: str, *args):
     return f.call(*args)
 
 
-from gridloom.functions.formulas import aggregates, dates, engineering, financial, lookup, math, numeric, text  # noqa: E402, F401
+from gridloom.functions.cells import aggregates, dates, engineering, financial, lookup, math, numeric, text  # noqa: E402, F401

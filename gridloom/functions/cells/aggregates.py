@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import define
-from gridloom.functions.formulas.math import _num, col
-from gridloom.functions.formulas.numeric import _udf, f_cdf, gamma_p, norm_cdf, t_cdf
+from gridloom.functions.cells import define
+from gridloom.functions.cells.math import _num, col
+from gridloom.functions.cells.numeric import _udf, f_cdf, gamma_p, norm_cdf, t_cdf
+from gridloom.runtime import materialize
 
 lit = F.lit
 
@@ -201,7 +202,7 @@ _AGGREGATE = [*_SUBTOTAL, "MEDIAN", "MODE.SNGL", "LARGE", "SMALL", "PERCENTILE.I
 @define("SUBTOTAL", "aggregate")
 def subtotal(fn, x, hidden=None):
     """Functions 1-11; 101-111 leave out rows where `hidden` holds."""
-    from gridloom.functions.formulas import REGISTRY
+    from gridloom.functions.cells import REGISTRY
 
     v = F.when(~F.coalesce(col(hidden), lit(False)), col(x)) if fn > 100 and hidden is not None else col(x)
     return REGISTRY[_SUBTOTAL[fn % 100 - 1]].call(v)
@@ -210,8 +211,8 @@ def subtotal(fn, x, hidden=None):
 @define("AGGREGATE", "aggregate")
 def aggregate_fn(fn, option, x, k=None, hidden=None):
     """Functions 1-19; options 2, 3, 6 and 7 ignore errors (others give null where one is there), 1, 3, 5 and 7 hidden rows."""
-    from gridloom.functions.formulas import REGISTRY
-    from gridloom.functions.formulas.math import _err
+    from gridloom.functions.cells import REGISTRY
+    from gridloom.functions.cells.math import _err
 
     v = F.when(~F.coalesce(col(hidden), lit(False)), col(x)) if option in (1, 3, 5, 7) and hidden is not None else col(x)
     if fn == 13:
@@ -233,7 +234,7 @@ def database_predicate(rows: list[dict]) -> Column:
 for _name, _base in {"DSUM": "SUM", "DAVERAGE": "AVERAGE", "DCOUNT": "COUNT", "DCOUNTA": "COUNTA", "DMAX": "MAX", "DMIN": "MIN", "DPRODUCT": "PRODUCT", "DSTDEV": "STDEV", "DSTDEVP": "STDEVP", "DVAR": "VAR", "DVARP": "VARP"}.items():
 
     def _database(df: DataFrame, field: str, rows: list[dict], base=_base) -> DataFrame:
-        from gridloom.functions.formulas import REGISTRY
+        from gridloom.functions.cells import REGISTRY
 
         return df.where(database_predicate(rows)).agg(REGISTRY[base].call(F.col(f"`{field}`")).alias("value"))
 
@@ -251,15 +252,52 @@ def dget(df: DataFrame, field: str, rows: list[dict]) -> DataFrame:
 
 
 def _window(by, order: Column) -> Window:
-    return Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
+    if not by:
+        raise ValueError("over a whole table, give the DataFrame and the column's name: call(name, df, column, result)")
+    return Window.partitionBy(*by).orderBy(order)
 
 
 def _rank(x, order: int = 0, by=()) -> Column:
     return F.rank().over(_window(by, col(x).asc() if order else col(x).desc()))
 
 
-define("RANK RANK.EQ", "window")(_rank)
-define("RANK.AVG", "window")(lambda x, order=0, by=(): _rank(x, order, by) + (F.count(lit(1)).over(Window.partitionBy(*by, col(x))) - 1) / 2)
 _cut3 = lambda v, digits: F.floor(F.round(v * 10**digits, 6)) / 10**digits
-define("PERCENTRANK PERCENTRANK.INC", "window")(lambda x, digits=3, by=(): _cut3(F.percent_rank().over(_window(by, col(x).asc())), digits))
-define("PERCENTRANK.EXC", "window")(lambda x, digits=3, by=(): _cut3(_rank(x, 1, by) / (F.count(lit(1)).over(Window.partitionBy(*by)) + 1.0), digits))
+
+
+def rank_table(df: DataFrame, column: str, order: int = 0) -> DataFrame:
+    """df with __below (rows before its value), __same (rows of its value) and __all (rows with a value), without one task for all.
+
+    Values are counted first, so ties cost one row; the counts are ranged
+    over partitions, and each partition gets the total of those before it.
+    Null values have no rank.
+    """
+    key = F.col(f"`{column}`")
+    counts = df.where(key.isNotNull()).groupBy(key.alias("__v")).agg(F.count(lit(1)).alias("__same"))
+    counts = counts.repartitionByRange("__v" if order else F.desc("__v")).sortWithinPartitions("__v" if order else F.desc("__v"))
+    counts = materialize(counts.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__k")), "ranks")
+    parts = counts.groupBy("__p").agg(F.sum("__same").alias("__n"))  # one row for each partition
+    line = Window.orderBy("__p")
+    parts = parts.select(F.col("__p").alias("__q"), (F.sum("__n").over(line) - F.col("__n")).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    own = Window.partitionBy("__p").orderBy("__k")
+    ranked = counts.withColumn("__in", F.sum("__same").over(own) - F.col("__same")).join(F.broadcast(parts), F.col("__p") == F.col("__q"))
+    ranked = ranked.select("__v", "__same", (F.col("__base") + F.col("__in")).alias("__below"), "__all")
+    return df.join(ranked, key == F.col("__v"), "left").drop("__v")
+
+
+def _ranking(names: str, grouped, value, option: int, ascending: int | None = None):
+    """Functions that take a Column and groups, or a DataFrame, a column's name and the result's name."""
+
+    def run(x, *args):
+        if not isinstance(x, DataFrame):
+            return grouped(x, *args)
+        column, result, given = (*args, option)[:3]
+        ranked = rank_table(x, column, given if ascending is None else ascending)
+        return ranked.withColumn(result, value(given)).drop("__below", "__same", "__all")
+
+    define(names, "window")(run)
+
+
+_ranking("RANK RANK.EQ", _rank, lambda _: F.col("__below") + 1, 0)
+_ranking("RANK.AVG", lambda x, order=0, by=(): _rank(x, order, by) + (F.count(lit(1)).over(Window.partitionBy(*by, col(x))) - 1) / 2, lambda _: F.col("__below") + 1 + (F.col("__same") - 1) / 2, 0)
+_ranking("PERCENTRANK PERCENTRANK.INC", lambda x, digits=3, by=(): _cut3(F.percent_rank().over(_window(by, col(x).asc())), digits), lambda digits: _cut3(F.when(F.col("__all") == 1, 0.0).otherwise(F.col("__below") / (F.col("__all") - 1)), digits), 3, 1)
+_ranking("PERCENTRANK.EXC", lambda x, digits=3, by=(): _cut3(_rank(x, 1, by) / (F.count(lit(1)).over(Window.partitionBy(*by)) + 1.0), digits), lambda digits: _cut3((F.col("__below") + 1) / (F.col("__all") + 1.0), digits), 3, 1)

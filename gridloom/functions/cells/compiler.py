@@ -1,4 +1,4 @@
-"""Formula text compiled to Columns: =IF([qty]>10, ROUND([price]*1.2, 2), "none").
+"""Cell expressions compiled to Columns: =IF([qty]>10, ROUND([price]*1.2, 2), "none").
 
 ``[name]`` or ``Table[name]`` or a bare name is a column; operators are
 ``^ * / + - & = <> < <= > >=`` and the percent sign; LET binds names from left
@@ -13,9 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import REGISTRY, call
-from gridloom.functions.formulas.math import _num
-from gridloom.functions.formulas.text import text
+from gridloom.functions.cells import REGISTRY, call
+from gridloom.functions.cells.math import _num
+from gridloom.functions.cells.text import text
 
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|"(?P<str>(?:[^"]|"")*)"|(?:[A-Za-z_]\w*)?\[(?P<col>[^\]]+)\]|(?P<err>\#[A-Z/0!?]+[!?]?)|(?P<name>[A-Za-z_][\w.]*)|(?P<op><>|<=|>=|[-+*/^&=<>%(){},;]))""")
 _LEVELS = [("=", "<>", "<", "<=", ">", ">="), ("&",), ("+", "-"), ("*", "/")]
@@ -118,8 +118,8 @@ def parse(source: str):
     return tree
 
 
-def compile_formula(source: str, df: DataFrame) -> Column:
-    """The formula as a Column over df; aggregates in it make it an aggregate Column."""
+def compile_cell(source: str, df: DataFrame) -> Column:
+    """The cell expression as a Column over df; aggregates in it make it an aggregate Column."""
     columns = {c.casefold(): c for c in df.columns}
 
     def constant(e):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import define
-from gridloom.functions.formulas.math import _num, col
+from gridloom.functions.cells import define
+from gridloom.functions.cells.math import _num, col
 
 lit = F.lit
 _int = lambda x: F.floor(_num(x)).cast("int")

@@ -8,10 +8,10 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import define
-from gridloom.functions.formulas.dates import day, yearfrac
-from gridloom.functions.formulas.math import _num, col
-from gridloom.functions.formulas.numeric import _arrays, _udf
+from gridloom.functions.cells import define
+from gridloom.functions.cells.dates import day, yearfrac
+from gridloom.functions.cells.math import _num, col
+from gridloom.functions.cells.numeric import _arrays, _udf
 
 lit = F.lit
 

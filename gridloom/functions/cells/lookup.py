@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import define
-from gridloom.functions.formulas.aggregates import wildcard
-from gridloom.functions.formulas.math import _num, col
+from gridloom.functions.cells import define
+from gridloom.functions.cells.aggregates import wildcard
+from gridloom.functions.cells.math import _num, col
+from gridloom.runtime import materialize
 from gridloom.operators.steps import ROW, add_row, dense_row
 
 lit = F.lit
@@ -56,7 +57,8 @@ def asof(df: DataFrame, key: str, table: DataFrame, table_key: str, results: lis
         w = Window.partitionBy(*by).orderBy("__s", "__side").rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("__f", F.last("__r", ignorenulls=True).over(w))
     else:
-        part = both.repartitionByRange("__s", "__side").sortWithinPartitions("__s", "__side").withColumn("__p", F.spark_partition_id())
+        dealt = both.repartitionByRange("__s", "__side").sortWithinPartitions("__s", "__side")
+        part = materialize(dealt.withColumn("__p", F.spark_partition_id()), "asof")  # written once: the carries need the same division
         w = Window.partitionBy("__p").orderBy("__s", "__side").rowsBetween(Window.unboundedPreceding, 0)
         carry = part.where("__r IS NOT NULL").groupBy("__p").agg(F.max_by("__r", "__s").alias("__c"))
         parts = part.select("__p").distinct().join(carry, "__p", "left")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import define
+from gridloom.functions.cells import define
 
 lit = F.lit
 _num = lambda x: (x if isinstance(x, Column) else lit(x)).cast("double")

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import define
-from gridloom.functions.formulas.math import _num, col
+from gridloom.functions.cells import define
+from gridloom.functions.cells.math import _num, col
 
 lit = F.lit
 
@@ -74,7 +74,7 @@ def _value(x):
 
 
 def _fixed(x, d) -> Column:
-    from gridloom.functions.formulas import call
+    from gridloom.functions.cells import call
 
     v = call("ROUND", x, d)
     return F.when(_int(d) > 0, F.call_function("format_number", v, F.greatest(_int(d), lit(0)))).otherwise(F.format_number(v, 0))
@@ -161,7 +161,7 @@ def _text_format(x, pattern):
     head, _, tail = body.partition(".")
     digits = sum(ch in "0#" for ch in tail)
     least = sum(ch == "0" for ch in head)
-    from gridloom.functions.formulas import call
+    from gridloom.functions.cells import call
 
     v = call("ROUND", _num(x) * 100**percent, digits)
     whole = F.format_string(f"%,.{digits}f" if "," in head else f"%.{digits}f", F.abs(v))

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: under this key the step format holds an expression.
+EXPRESSION_KEY = "formula"
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>"(?:\\.|""|[^"\\])*"|'(?:\\.|[^'\\])*')|\[(?P<col>(?:\]\]|[^\]])+)\]|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)|(?P<op>===|!==|==|!=|<=|>=|&&|\|\||[-+*/%<>!?:(),]))""")
 _LEVELS = [("||",), ("&&",), ("===", "!==", "==", "!="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "/", "%")]
 _WORDS = {"and": "&&", "or": "||", "not": "!"}
@@ -35,7 +37,7 @@ def tokens(text: str) -> list[tuple[str, object]]:
     while at < len(text):
         m = _TOKEN.match(text, at)
         if not m or m.end() == at:
-            raise SyntaxError(f"unexpected {text[at : at + 10]!r} in formula")
+            raise SyntaxError(f"unexpected {text[at : at + 10]!r} in the expression")
         at = m.end()
         if m["num"] is not None:
             out.append(("value", float(m["num"])))
@@ -58,7 +60,7 @@ def tokens(text: str) -> list[tuple[str, object]]:
 
 
 def parse(text: str):
-    """The formula as nested tuples; a leading = is allowed."""
+    """The expression as nested tuples; a leading = is allowed."""
     text = text.strip()
     ts = [*tokens(text[1:] if text.startswith("=") and not text.startswith("==") else text), ("end", None)]
     at = 0
@@ -121,7 +123,7 @@ def parse(text: str):
                     args.append(ternary())
             want(")")
             return ("call", value.lower(), args)
-        raise SyntaxError("the formula ends too early")
+        raise SyntaxError("the expression ends too early")
 
     tree = ternary()
     if ts[at][0] != "end":
@@ -130,7 +132,7 @@ def parse(text: str):
 
 
 def columns_of(tree) -> set[str]:
-    """Names of the columns that a parsed formula reads."""
+    """Names of the columns that a parsed expression reads."""
     if tree[0] == "column":
         return {tree[1]}
     return set().union(*(columns_of(x) for part in tree[1:] for x in (part if isinstance(part, list) else [part]) if isinstance(x, tuple)))
@@ -261,7 +263,7 @@ FUNCTIONS = {
 
 
 def compile_expression(text: str, schema: T.StructType, cell: str | None = None) -> Typed:
-    """The formula as a Column over a DataFrame of this schema; cell names the column that ``_`` means."""
+    """The expression as a Column over a DataFrame of this schema; cell names the column that ``_`` means."""
     kinds = {f.name: kind_of(f.dataType) for f in schema}
 
     def column(name: str) -> Typed:

@@ -1,4 +1,4 @@
-"""User functions: a registry of Python functions that run as Arrow-batched UDFs, also from SQL and formulas."""
+"""User functions: a registry of Python functions that run as Arrow-batched UDFs, also from SQL and cell expressions."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def custom_function(f: Callable | None = None, *, name: str | None = None, retur
 
         f.column, f.kind, f.vectorized = column, kind, vectorized
         CUSTOM[(name or f.__name__).upper()] = column
-        from gridloom.functions.formulas import Function, REGISTRY
+        from gridloom.functions.cells import Function, REGISTRY
 
         n = len(inspect.signature(f).parameters)
         REGISTRY[(name or f.__name__).upper()] = Function((name or f.__name__).upper(), "scalar", column, 0, n)

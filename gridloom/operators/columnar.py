@@ -116,7 +116,7 @@ def upsert(base: DataFrame, delta: DataFrame, key: list[str], version: str, dele
 
 def worksheet_sort(df: DataFrame, columns: list[tuple[str, bool]], case_sensitive: bool = False) -> DataFrame:
     """Order of cell kinds in a text column: numbers, text, logicals, errors, blanks; blanks last in both directions."""
-    from gridloom.functions.formulas.math import ERRORS
+    from gridloom.functions.cells.math import ERRORS
 
     keys = []
     for name, down in columns:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.expression import Typed, compile_expression, kind_of
+from gridloom.functions.expression import EXPRESSION_KEY, Typed, compile_expression, kind_of
 from gridloom.operators.predicate import compile_predicate
+from gridloom.runtime import materialize
 
 ROW = "__row"
 AGGREGATES = ("sum", "count", "average", "min", "max", "countDistinct")
@@ -29,6 +30,17 @@ def add_row(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def ranged(df: DataFrame) -> DataFrame:
+    """df by ranges of ROW, with __p (partition) and __k (place in it).
+
+    Written once: both what counts the partitions and what reads their rows
+    must see one and the same division, which a recomputed range partition
+    does not promise.
+    """
+    dealt = df.repartitionByRange(ROW).sortWithinPartitions(ROW)
+    return materialize(dealt.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k")), "ranged")
+
+
 def dense_row(df: DataFrame) -> DataFrame:
     """df with ROW made gapless from 0.
 
@@ -37,7 +49,7 @@ def dense_row(df: DataFrame) -> DataFrame:
     """
     if ROW not in df.columns:
         df = add_row(df)
-    part = df.repartitionByRange(ROW).sortWithinPartitions(ROW).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k"))
+    part = ranged(df)
     sizes = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     joined = part.join(before, F.col("__p") == F.col("__q"))
@@ -105,10 +117,10 @@ def group_by(df, groupColumns, aggregations):
     return df.groupBy(*map(c, groupColumns)).agg(*made)
 
 
-def add_column(df, name, formula):
+def add_column(df, name, **expression):
     if name in df.columns:
         raise ValueError(f"column {name!r} is there already")
-    return df.withColumn(name, compile_expression(formula, df.schema).column)
+    return df.withColumn(name, compile_expression(expression[EXPRESSION_KEY], df.schema).column)
 
 
 def rename_column(df, oldName, newName):
@@ -197,14 +209,14 @@ def distinct_rows(df, columns=None):
 def transform_columns(df, transforms):
     made = {}
     for t in transforms:
-        v = compile_expression(t["formula"], df.schema, t["column"])
+        v = compile_expression(t[EXPRESSION_KEY], df.schema, t["column"])
         made[t["column"]] = change(v, t["newType"]) if t.get("newType") else v.column
     return df.withColumns(made)
 
 
 def fill_down(df, columns):
     """Last value above that is not null. In reading order; partitions hand their last values on by a small table."""
-    part = df.repartitionByRange(ROW).sortWithinPartitions(ROW).withColumn("__p", F.spark_partition_id())
+    part = ranged(df)
     own = Window.partitionBy("__p").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
     lasts = part.groupBy("__p").agg(*[F.max_by(c(n), F.when(c(n).isNotNull(), F.col(ROW))).alias(f"__l{k}") for k, n in enumerate(columns)])
     up = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,7 +33,7 @@ class PivotConfig:
     filters: list[dict] = field(default_factory=list)
     subtotals: bool = True
     row_grand_totals: bool = True
-    calculated_fields: dict[str, str] = field(default_factory=dict)  # name -> formula over value names
+    calculated_fields: dict[str, str] = field(default_factory=dict)  # name -> expression over value names
     calculated_items: list[tuple[str, object, list]] = field(default_factory=list)  # (field, new item, items that it sums)
 
 
@@ -66,8 +66,8 @@ def pivot(df: DataFrame, config: PivotConfig) -> DataFrame:
     for v, n in zip(config.values, names):
         if v.show != "normal":
             out = out.withColumn(n, show_as(v, n, config))
-    for name, formula in config.calculated_fields.items():
-        out = out.withColumn(name, compile_expression(formula, out.schema).column)
+    for name, text in config.calculated_fields.items():
+        out = out.withColumn(name, compile_expression(text, out.schema).column)
     return out
 
 

@@ -58,7 +58,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     """Import the modules that register queries."""
-    from gridloom.plans import dax_queries, formula_queries, pq_queries, stat_queries  # noqa: F401
+    from gridloom.plans import cell_queries, cell_tables, dax_queries, pq_queries, stat_queries  # noqa: F401
 
 
 _load_all()

@@ -1,11 +1,11 @@
-"""Queries of the formula library, each with its SQL."""
+"""Queries of the cell functions, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.formulas import call
+from gridloom.functions.cells import call
 from gridloom.plans.catalog import register, table
 
 c = F.col
@@ -72,10 +72,17 @@ _lookup("fx_dsum", "SELECT sum(c_acctbal) AS value FROM customer WHERE (c_mktseg
 _lookup("fx_dget", "SELECT n_name AS value, NULL::varchar AS err FROM nation WHERE n_nationkey = 7", lambda spark, sf: call("DGET", table(spark, sf, "nation"), "n_name", [{"n_nationkey": 7}]))
 
 
-@register("fx_rank_eq", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC)::int AS r, round((rank() OVER (ORDER BY c_acctbal DESC)) + (count(*) OVER (PARTITION BY c_acctbal)-1)/2.0,1) AS a FROM customer WHERE c_nationkey < 3")
+@register("fx_rank_eq", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC)::int AS r, round((rank() OVER (ORDER BY c_acctbal DESC)) + (count(*) OVER (PARTITION BY c_acctbal)-1)/2.0,1) AS a FROM customer")
 def _rank(spark, sf):
-    d = table(spark, sf, "customer").where("c_nationkey < 3")
-    return d.select("c_custkey", call("RANK.EQ", c("c_acctbal")).alias("r"), F.round(call("RANK.AVG", c("c_acctbal")), 1).alias("a"))
+    d = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    d = call("RANK.AVG", call("RANK.EQ", d, "c_acctbal", "r"), "c_acctbal", "a")
+    return d.select("c_custkey", c("r").cast("int").alias("r"), F.round("a", 1).alias("a"))
+
+
+@register("fx_percentrank_all", "SELECT o_orderkey, floor(round((percent_rank() OVER (ORDER BY o_totalprice))*1000,6))/1000 AS p, floor(round((rank() OVER (ORDER BY o_totalprice))/(count(*) OVER () + 1.0)*1000,6))/1000 AS e FROM orders")
+def _prank_all(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return call("PERCENTRANK.EXC", call("PERCENTRANK.INC", d, "o_totalprice", "p"), "o_totalprice", "e").drop("o_totalprice")
 
 
 @register("fx_percentrank", "SELECT o_orderkey, floor(round((percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice))*1000,6))/1000 AS p FROM orders")
@@ -94,15 +101,15 @@ def _textsplit(spark, sf):
 
 @register("fx_date", "SELECT o_orderkey, year(d)::int AS y, month(d)::int AS m, (dayofweek(d)+1)::int AS w, last_day(d + INTERVAL 1 MONTH)::date AS e, (d - DATE '1899-12-30')::int AS serial FROM (SELECT o_orderkey, o_orderdate::date AS d FROM orders)")
 def _dates(spark, sf):
-    from gridloom.functions.formulas.dates import serial
+    from gridloom.functions.cells.dates import serial
 
     d = c("o_orderdate")
     return table(spark, sf, "orders").select("o_orderkey", call("YEAR", d).alias("y"), call("MONTH", d).alias("m"), call("WEEKDAY", d).alias("w"), call("EOMONTH", d, 1).alias("e"), serial(d).alias("serial"))
 
 
-@register("fx_networkdays", "SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM range(s, s + INTERVAL 31 DAY, INTERVAL 1 DAY) t(x) WHERE isodow(x) < 6)::int AS n FROM (SELECT l_orderkey, l_linenumber, l_shipdate::date AS s FROM lineitem WHERE l_linenumber = 1)")
+@register("fx_networkdays", "SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM range(s, s + INTERVAL 31 DAY, INTERVAL 1 DAY) t(x) WHERE isodow(x) < 6)::int AS n FROM (SELECT l_orderkey, l_linenumber, l_shipdate::date AS s FROM lineitem)")
 def _networkdays(spark, sf):
-    d = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    d = table(spark, sf, "lineitem")
     return d.select("l_orderkey", "l_linenumber", call("NETWORKDAYS", c("l_shipdate"), F.date_add(c("l_shipdate").cast("date"), 30)).alias("n"))
 
 
@@ -111,10 +118,18 @@ def _eomonth(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", call("EOMONTH", c("o_orderdate"), 0).alias("a"), call("EDATE", c("o_orderdate"), 3).alias("b"))
 
 
-@register("fx_yearfrac", "SELECT o_orderkey, round(((2000-year(d))*360+(1-month(d))*30+1-least(day(d),30))/360.0,9) AS f, round((DATE '2000-01-01'-d)/365.0,9) AS g FROM (SELECT o_orderkey, o_orderdate::date AS d FROM orders WHERE NOT (month(o_orderdate)=2 AND day(o_orderdate)>=28) AND o_orderdate < DATE '2000-01-01')")
+_YEARFRAC = """
+    WITH d AS (SELECT o_orderkey, least(o_orderdate::date, DATE '2000-02-29') AS a, greatest(o_orderdate::date, DATE '2000-02-29') AS b FROM orders),
+         e AS (SELECT *, month(a) = 2 AND a = last_day(a) AS fa, month(b) = 2 AND b = last_day(b) AS fb FROM d),
+         x AS (SELECT *, CASE WHEN fa OR day(a) = 31 THEN 30 ELSE day(a) END AS p FROM e),
+         y AS (SELECT *, CASE WHEN fa AND fb THEN 30 WHEN day(b) = 31 AND p = 30 THEN 30 ELSE day(b) END AS q FROM x)
+    SELECT o_orderkey, round(((year(b)-year(a))*360+(month(b)-month(a))*30+q-p)/360.0,9) AS f, round((b-a)/365.0,9) AS g FROM y"""
+
+
+@register("fx_yearfrac", _YEARFRAC)
 def _yearfrac(spark, sf):
-    d = table(spark, sf, "orders").where("NOT (month(o_orderdate) = 2 AND day(o_orderdate) >= 28) AND o_orderdate < DATE'2000-01-01'")
-    end = F.lit("2000-01-01").cast("date")
+    d = table(spark, sf, "orders")
+    end = F.lit("2000-02-29").cast("date")
     return d.select("o_orderkey", F.round(call("YEARFRAC", c("o_orderdate"), end, 0), 9).alias("f"), F.round(call("YEARFRAC", c("o_orderdate"), end, 3), 9).alias("g"))
 
 

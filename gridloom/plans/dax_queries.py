@@ -79,16 +79,16 @@ _table("dax_summarizecolumns", 'SUMMARIZECOLUMNS(region[r_name], orders[o_orders
 _table("dax_calculatetable", 'CALCULATETABLE(VALUES(nation[n_name]), region[r_name] = "EUROPE")', "SELECT n_name FROM nation JOIN region ON n_regionkey=r_regionkey WHERE r_name='EUROPE'")
 
 
-@register("dax_blank_member", "SELECT r_name, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey=c_custkey AND c_custkey % 3 <> 0 LEFT JOIN nation ON c_nationkey=n_nationkey LEFT JOIN region ON n_regionkey=r_regionkey GROUP BY 1")
+@register("dax_blank_member", "SELECT s_nationkey, count(*) AS n FROM orders LEFT JOIN supplier ON o_custkey=s_suppkey GROUP BY 1")
 def _blank(spark, sf):
-    m = star(spark, sf)
-    m.tables["customer"] = m.tables["customer"].where("c_custkey % 3 <> 0")
-    return m.pivot("orders", [_REG], [("n", "[Orders]")]).withColumnRenamed("region[r_name]", "r_name")
+    m = Model().add_table("orders", table(spark, sf, "orders")).add_table("supplier", table(spark, sf, "supplier"))
+    m.add_relationship(Relationship("orders", "o_custkey", "supplier", "s_suppkey"))  # most keys have no supplier
+    return m.pivot("orders", [("supplier", "s_nationkey")], [("n", "COUNTROWS(orders)")]).withColumnRenamed("supplier[s_nationkey]", "s_nationkey")
 
 
-@register("dax_m2m", "SELECT s_name, round(sum(o_totalprice),2) AS total FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON o_orderkey=l_orderkey JOIN supplier ON s_suppkey=l_suppkey WHERE o_orderstatus='P' GROUP BY 1")
+@register("dax_m2m", "SELECT s_name, round(sum(o_totalprice),2) AS total FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN orders ON o_orderkey=l_orderkey JOIN supplier ON s_suppkey=l_suppkey GROUP BY 1")
 def _m2m(spark, sf):
-    m = Model().add_table("orders", table(spark, sf, "orders").where("o_orderstatus = 'P'")).add_table("bridge", table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()).add_table("supplier", table(spark, sf, "supplier"))
+    m = Model().add_table("orders", table(spark, sf, "orders")).add_table("bridge", table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()).add_table("supplier", table(spark, sf, "supplier"))
     m.add_relationship(Relationship("orders", "o_orderkey", "bridge", "l_orderkey", many_to_many=True)).add_relationship(Relationship("bridge", "l_suppkey", "supplier", "s_suppkey", referential=True))
     out = m.pivot("orders", [("supplier", "s_name")], [("total", "SUM(orders[o_totalprice])")]).withColumnRenamed("supplier[s_name]", "s_name")
     return out.where("s_name IS NOT NULL").withColumn("total", F.round("total", 2))
@@ -98,3 +98,9 @@ def _m2m(spark, sf):
 def _crosstab(spark, sf):
     out = star(spark, sf).crosstab("orders", [_REG], [("orders", "o_orderstatus")], [("n", "[Orders]")], ["F", "O", "P"])
     return out.withColumnRenamed("region[r_name]", "r_name").fillna(0, ["F", "O", "P"])
+
+
+_pivot("dax_column_aggregates", "orders", [("orders", "o_orderpriority")], [("lo", "MIN(orders[o_totalprice])"), ("hi", "MAX(orders[o_totalprice])"), ("n", "COUNT(orders[o_custkey])"), ("a", "COUNTA(orders[o_orderstatus])"), ("b", "COUNTBLANK(orders[o_orderstatus])"), ("sx", "SUMX(orders, orders[o_custkey] * 2 + 1)"), ("plain", "MAX(orders[o_custkey]) - MIN(orders[o_custkey]) * 2")], "SELECT o_orderpriority, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(o_custkey) AS n, count(o_orderstatus) AS a, count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus = '') AS b, sum(o_custkey * 2 + 1)::double AS sx, (max(o_custkey) - min(o_custkey) * 2)::double AS plain FROM orders GROUP BY 1")
+_pivot("dax_allnoblankrow", "lineitem", [_FLAG], [("n", "CALCULATE([Lines], ALLNOBLANKROW(lineitem))"), ("m", "CALCULATE([Lines], FILTER(ALLNOBLANKROW(lineitem[l_linestatus]), lineitem[l_linestatus] = \"O\"))")], "SELECT l_returnflag, (SELECT count(*) FROM lineitem) AS n, nullif(count(*) FILTER (l_linestatus = 'O'),0) AS m FROM lineitem GROUP BY 1")
+_calculated("dax_containsrow", "nation", "IF(CONTAINSROW({1, 3}, nation[n_regionkey]) && TRUE() || FALSE(), \"in\", \"out\")", ["n_name"], "SELECT n_name, CASE WHEN n_regionkey IN (1, 3) THEN 'in' ELSE 'out' END AS x FROM nation")
+_calculated("dax_containsrow_pairs", "nation", "IF(CONTAINSROW({(1, 2), (3, 4)}, nation[n_regionkey], nation[n_regionkey] + 1), 1, 0)", ["n_name"], "SELECT n_name, CASE WHEN n_regionkey IN (1, 3) THEN 1 ELSE 0 END AS x FROM nation")

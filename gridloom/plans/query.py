@@ -91,8 +91,6 @@ class Engine:
                     at += 1
                 else:
                     df = merge(df, right, **op)
-                if any(o["type"] in S.ORDERED for o in ops[at + 1 :]):
-                    df = S.add_row(df)
             elif kind == "append":
                 df = S.append(df, [self.reference(i, seen) for i in op["queries"]])
                 if S.ROW in df.columns:
@@ -102,6 +100,8 @@ class Engine:
             else:
                 df = S.STEPS[kind](df, **op)
             at += 1
+            if S.ROW not in df.columns and any(o["type"] in S.ORDERED for o in ops[at:]):
+                df = S.add_row(df)
         return df.orderBy(S.ROW).drop(S.ROW) if S.ROW in df.columns else df
 
     @staticmethod

@@ -45,10 +45,10 @@ def _stats(d):
     return C.column_stats(d, ["c_custkey", "c_mktsegment"], exact=True).select("column", "distinct", "nulls", "sum")
 
 
-@register("col_full_outer_join", "SELECT n_nationkey, s_suppkey FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON n_nationkey = s_nationkey")
+@register("col_full_outer_join", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
 def _full(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey % 2 = 0")
-    return table(spark, sf, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "full").select("n_nationkey", "s_suppkey")
+    on = (F.col("c_custkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))
+    return table(spark, sf, "customer").join(table(spark, sf, "supplier"), on, "full").select("c_custkey", "s_suppkey")
 
 
 @_q("col_upsert", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT -1::bigint, 0.0::double")

@@ -53,7 +53,7 @@ def monte_carlo(spark: SparkSession, n: int, inputs: dict[str, dict], correlatio
     """
     import numpy as np
 
-    from gridloom.functions.formulas.numeric import _beta_inv, _poisson, norm_cdf, norm_inv
+    from gridloom.functions.cells.numeric import _beta_inv, _poisson, norm_cdf, norm_inv
 
     names = list(inputs)
     low = np.linalg.cholesky(np.array(correlation, float)) if correlation else np.eye(len(names))

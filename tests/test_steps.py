@@ -143,3 +143,39 @@ def test_privacy_and_explain(spark):
         Engine(spark, {"a": a}, privacy={"pub": "public", "priv": "private"}, block_mixing=True).run(b)
     q = Query({"type": "database", "connection": "x", "query": "q"}, [{"type": "filterRows", "predicate": {}}, {"type": "fillDown", "columns": []}, {"type": "take", "count": 1}])
     assert [s["runs"] for s in explain(q)] == ["source", "spark", "spark"] and explain(q)[1]["reason"] == "unsupported_op"
+
+
+def test_merges_keep_row_order(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = [["k", "v"], *[[i % 7, 300 - i] for i in range(300)]]
+        right = [["k", "w"], *[[i % 9, i] for i in range(27)]]
+        merge = {"type": "merge", "rightQuery": "r", "leftKeys": ["k"], "rightKeys": ["k"]}
+        sort = {"type": "sortRows", "sortBy": [{"column": "v"}]}
+        want = [(k, v, w) for k, v in sorted(map(tuple, left[1:]), key=lambda x: x[1]) for j, w in right[1:] if j == k]
+        for kind in ("inner", "left"):
+            got = run(spark, [sort, merge | {"joinType": kind}, {"type": "take", "count": 11}], left, r=right)
+            assert [tuple(map(int, r)) for r in got.collect()] == want[:11]
+        got = run(spark, [sort, merge | {"joinType": "full"}, {"type": "addIndexColumn", "name": "i"}], left, r=right)
+        assert [r["i"] for r in got.collect()] == list(range(len(want) + 6))
+        assert [(int(r["k"]), int(r["w"])) for r in got.collect()[-6:]] == [(j, w) for j, w in right[1:] if j > 6]
+        got = run(spark, [sort, merge | {"joinType": "leftSemi"}, {"type": "skip", "count": 295}], left, r=right)
+        assert [int(r["v"]) for r in got.collect()] == [296, 297, 298, 299, 300]
+        got = run(spark, [merge | {"joinType": "rightAnti"}, {"type": "take", "count": 2}], left, r=right)
+        assert [int(r["w"]) for r in got.collect()] == [7, 8]
+        nested = [sort, merge | {"joinType": "left", "joinMode": "nested", "newColumnName": "n"}, {"type": "take", "count": 5}]
+        assert [[int(x["w"]) for x in r["n"]] for r in run(spark, nested, left, r=right).collect()] == [[w for j, w in right[1:] if j == k] for k, _ in sorted(map(tuple, left[1:]), key=lambda x: x[1])[:5]]
+        spread = [*nested, {"type": "expandTableColumn", "column": "n", "columns": ["w"]}]
+        assert [tuple(map(int, (r["k"], r["v"], r["w"]))) for r in run(spark, spread, left, r=right).collect()] == want[:15]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_carries_survive_forced_coalescing(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", 50)
+    try:
+        grid = [["i", "x"], *[[i, i if i % 13 == 0 else None] for i in range(500)]]
+        got = run(spark, [{"type": "sortRows", "sortBy": [{"column": "i"}]}, {"type": "fillDown", "columns": ["x"]}, {"type": "addIndexColumn", "name": "n"}], grid).collect()
+        assert [(int(r["i"]), int(r["x"]), r["n"]) for r in got] == [(i, i - i % 13, i) for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
