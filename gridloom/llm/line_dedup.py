@@ -143,6 +143,15 @@ _SPOT = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("line", "<i4")])
 _ASKED = 1 << 15
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Entries as byte planes: what is zero in all of them stands together, and the shuffle's codec takes it out."""
+    return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
+
+
+def _rows(planes: bytes) -> bytes:
+    return np.frombuffer(planes, np.uint8).reshape(_ENTRY.itemsize, -1).T.tobytes()
+
+
 def _prefix(size, percent: int):
     return size - (-(-percent * size // 100)) + 1
 
@@ -398,14 +407,15 @@ def later_matches(docs: DataFrame, percent: int = 80, most: int = 8, best: int =
                 for c, x in zip(spot, (doc, rid, line)):
                     g[c] = x[gone]
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(x, e[edge[x] : edge[x + 1]].tobytes(), wide[before[edge[x]] : before[edge[x + 1]]].tobytes(), b"") for x in np.flatnonzero(np.diff(edge)).tolist()]
+                rows = [(x, _planes(e[edge[x] : edge[x + 1]]), wide[before[edge[x]] : before[edge[x + 1]]].tobytes(), b"") for x in np.flatnonzero(np.diff(edge)).tolist()]
                 if len(g):
                     rows.append((int(g["rid"][0]) % buckets, b"", b"", g.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "entries", "wide", "gone"])
 
         def join(group: pa.Table) -> pa.Table:
-            e, w, g = (b"".join(x.as_py() for x in group.column(c)) for c in ("entries", "wide", "gone"))
+            e = b"".join(_rows(x.as_py()) for x in group.column("entries"))
+            w, g = (b"".join(x.as_py() for x in group.column(c)) for c in ("wide", "gone"))
             e, w, g = np.frombuffer(e, _ENTRY), np.frombuffer(w, _U).reshape(-1, 3), np.frombuffer(g, _SPOT)
             x, y, more = candidates(e, w, percent, limit, best)
             ex, ey = e[x], e[y]
