@@ -74,14 +74,25 @@ def components(sets, percent):
     return {i: top(i) for i in ids}
 
 
-def gone_lines(data, percent=80, least=5):
-    """(doc_id, line) of the lines that line dedup takes away."""
-    lines = [(-1 if i is None else i, k, frozenset(words(l.translate(LOW)))) for i, t, *_ in data if t is not None for k, l in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
-    out = set()
-    for i, k, s in lines:
-        if any((j, m) < (i, k) and 100 * len(s & r) >= percent * len(s | r) for j, m, r in lines):
-            out.add((i, k))
+def row_hashes(spark, data):
+    """(doc_id, text) -> the hash that orders rows with one doc_id."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, t) for i, t, *_ in data], "doc_id long, text string")
+    return {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text")).collect()}
+
+
+def gone_lines(data, hashes, percent=80):
+    """{(doc_id, text): lines} that line dedup takes away; all pairs of lines of all different rows compared."""
+    lines = []
+    for i, t in {(i, t) for i, t, *_ in data if t is not None}:
+        for k, part in enumerate(t.split("\n")):
+            if s := frozenset(words(part.translate(LOW))):
+                lines.append(((i is not None, i or 0, hashes[i, t], k), s, (i, t)))
+    out = {}
+    for at, s, row in lines:
+        if any(other < at and 100 * len(s & r) >= percent * len(s | r) for other, r, _ in lines):
+            out.setdefault(row, set()).add(at[3])
     return out
 
 
