@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.expression import kind_of
+
 _TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?)|"(?P<str>(?:[^"]|"")*")|'(?P<quoted>(?:[^']|'')*)'|\[(?P<col>(?:\]\]|[^\]])*)\]|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)|(?P<op><>|<=|>=|&&|\|\||[-+*/&=<>(){},!]))""")
 _LEVELS = [("||",), ("&&",), ("=", "<>", "<", "<=", ">", ">=", "in"), ("&",), ("+", "-"), ("*", "/")]
 
@@ -175,6 +177,7 @@ class Model:
         self.tables: dict[str, DataFrame] = {}
         self.relationships: list[Relationship] = []
         self.measures: dict[str, tuple] = {}
+        self.calculated: dict[str, dict[str, tuple]] = {}
 
     def name(self, table: str) -> str:
         found = [t for t in self.tables if t.casefold() == table.casefold()]
@@ -211,14 +214,72 @@ class Model:
     def add_calculated_column(self, table: str, name: str, text: str) -> Model:
         """A column computed in row context; it may read calculated columns that were added before."""
         t = self.name(table)
-        ev = _Eval(self)
-        df, made = ev.row(parse(text), ev.qualified(t), t, Context())
-        self.tables[t] = df.withColumn("__made", made).select(*[col(q(t, c)).alias(c) for c in self.tables[t].columns], F.col("__made").alias(name))
+        before = dict(self.calculated.get(t, {}))
+        self.define_calculated_column(t, name, text)
+        try:
+            self.tables[t] = self._computed(t, name, parse(text))
+        except Exception:
+            self.calculated[t] = before
+            raise
+        return self
+
+    def define_calculated_column(self, table: str, name: str, text: str) -> Model:
+        """Say how a column is calculated without computing it (its values are stored already); in any order."""
+        t = self.name(table)
+        made = self.calculated.get(t, {}) | {name: parse(text)}
+        self._order(t, made)
+        self.calculated[t] = made
         return self
 
+    def _order(self, t: str, made: dict[str, tuple]) -> list[str]:
+        """Calculated columns of a table so that each comes after those that it reads."""
+        known, out, open_ = {n.casefold(): n for n in made}, [], []
+
+        def visit(n: str) -> None:
+            if n in out:
+                return
+            if n in open_:
+                raise ValueError(f"dependency cycle among calculated columns of {t}: {' -> '.join([*open_[open_.index(n) :], n])}")
+            open_.append(n)
+            for x in _walk(made[n], self):
+                read = x[2] if x[0] == "col" and x[1].casefold() == t.casefold() else x[1] if x[0] == "ref" else ""
+                if read.casefold() in known:
+                    visit(known[read.casefold()])
+            open_.pop()
+            out.append(n)
+
+        for n in made:
+            visit(n)
+        return out
+
+    def _computed(self, t: str, name: str, tree: tuple) -> DataFrame:
+        """Table t with the column name computed, at its place or at the end."""
+        ev = _Eval(self)
+        df, made = ev.row(tree, ev.qualified(t), t, Context())
+        columns = self.tables[t].columns if name in self.tables[t].columns else [*self.tables[t].columns, name]
+        return df.withColumn("__made", made).select(*[F.col("__made").alias(c) if c == name else col(q(t, c)).alias(c) for c in columns])
+
     def insert_rows(self, table: str, rows: DataFrame) -> Model:
+        """Append rows (their columns that are not calculated) and compute the calculated columns in the order in which they depend on each other.
+
+        Values of another kind than their column's are refused. If anything fails, the table is as before.
+        """
         t = self.name(table)
-        self.tables[t] = self.tables[t].unionByName(rows, allowMissingColumns=True)
+        before, made = self.tables[t], self.calculated.get(t, {})
+        given = [c for c in before.columns if c not in made]
+        for c in rows.columns:
+            if c not in given:
+                raise KeyError(f"{t} has no column {c!r} to insert into")
+            if (old := kind_of(before.schema[c].dataType)) != (new := kind_of(rows.schema[c].dataType)) and "null" not in (old, new):
+                raise TypeError(f"{t}[{c}] holds {old}, not {new}")
+        try:
+            self.tables[t] = before.select(*map(col, given)).unionByName(rows, allowMissingColumns=True)
+            for n in self._order(t, made):
+                self.tables[t] = self._computed(t, n, made[n])
+            self.tables[t] = self.tables[t].select(*map(col, before.columns))
+        except Exception:
+            self.tables[t] = before
+            raise
         return self
 
     def evaluate(self, text: str, filters: list[str] | None = None) -> DataFrame:

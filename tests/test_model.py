@@ -70,3 +70,21 @@ def test_parser():
     assert parse("1+2*3") == ("bin", "+", ("value", 1.0), ("bin", "*", ("value", 2.0), ("value", 3.0)))
     with pytest.raises(SyntaxError):
         parse("SUM(")
+
+
+def test_calculated_columns_follow_their_dependencies(spark):
+    m = Model().add_table("T", spark.createDataFrame([(1.0, 2.0, 20.0, 22.0)], "a0 double, A double, b0 double, B double"))
+    m.define_calculated_column("T", "B", "[A] + [b0]").define_calculated_column("T", "A", "VAR x = T[a0] RETURN x + 1")
+    m.insert_rows("T", spark.createDataFrame([(10.0, 20.0)], "a0 double, b0 double"))
+    assert sorted(map(tuple, m.tables["T"].collect())) == [(1.0, 2.0, 20.0, 22.0), (10.0, 11.0, 20.0, 31.0)]
+    for text in ("[B] + 1", "T[A]"):
+        with pytest.raises(ValueError, match="dependency cycle.* T"):
+            m.define_calculated_column("T", "A", text)
+    with pytest.raises(TypeError):
+        m.insert_rows("T", spark.createDataFrame([("x", 1.0)], "a0 string, b0 double"))
+    with pytest.raises(KeyError):
+        m.insert_rows("T", spark.createDataFrame([(1.0,)], "A double"))
+    m.define_calculated_column("T", "B", "BOGUS()")
+    with pytest.raises(Exception):
+        m.insert_rows("T", spark.createDataFrame([(5.0, 5.0)], "a0 double, b0 double"))
+    assert m.tables["T"].count() == 2
