@@ -100,6 +100,18 @@ def isolation_forest(df: DataFrame, column: str, trees: int = 50, sample: int =
     return df.withColumn("score", score(F.col(column).cast("double")))
 
 
+def anomalies(df: DataFrame, column: str, threshold: float = 0.65, **forest) -> DataFrame:
+    """The rows that the isolation forest finds isolated, most isolated first.
+
+    A threshold up to 1 is the least score, one above 1 the number of rows to give.
+    """
+    scored = isolation_forest(df, column, **forest).where(F.col(column).isNotNull())
+    if threshold <= 0:
+        raise ValueError("the threshold has to be above 0")
+    ranked = scored.orderBy(F.desc("score"), column)
+    return ranked.limit(int(threshold)) if threshold > 1 else ranked.where(F.col("score") >= threshold)
+
+
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.corr(a, b).alias("correlation"))
 

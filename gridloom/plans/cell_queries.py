@@ -172,13 +172,17 @@ def _lambda(spark, sf):
     return a.select("o_custkey", call("INDEX", call("MAP", c("a"), lambda v: v * 1.0), 1).alias("first"), call("REDUCE", F.lit(0).cast("long"), c("a"), lambda s, _: s + 1).alias("n"))
 
 
-@register("fx_norm_dist")
+@register("fx_norm_dist", "SELECT o_orderkey, true AS same FROM orders")
 def _norm(spark, sf):
-    w = Window.partitionBy("o_orderstatus")
-    return table(spark, sf, "orders").select("o_orderkey", call("NORM.DIST", c("o_totalprice"), F.avg("o_totalprice").over(w), F.stddev_samp("o_totalprice").over(w), True).alias("p"))
+    """The distribution and its inverse, one after the other."""
+    m = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
+    d = table(spark, sf, "orders").join(F.broadcast(m), "o_orderstatus")  # one row for each of the order states
+    return d.select("o_orderkey", (F.abs(call("NORM.INV", call("NORM.DIST", c("o_totalprice"), c("m"), c("s"), True), c("m"), c("s")) - c("o_totalprice")) < 0.001).alias("same"))
 
 
-@register("fx_irr")
+@register("fx_irr", "SELECT o_custkey, 0.0::double AS left_ FROM orders GROUP BY 1")
 def _irr(spark, sf):
+    """What the flows are worth at their own rate: nothing."""
     a = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_totalprice")).alias("a"), F.sum("o_totalprice").alias("s"))
-    return a.select("o_custkey", call("IRR", F.concat(F.array(-c("s") * 0.9), c("a"))).alias("r"))
+    a = a.select("o_custkey", "a", (c("s") * 0.9).alias("paid"), call("IRR", F.concat(F.array(-c("s") * 0.9), c("a"))).alias("r"))
+    return a.select("o_custkey", (F.round((call("NPV", c("r"), c("a")) - c("paid")) / c("paid"), 6) + 0.0).alias("left_"))

@@ -18,7 +18,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def test_all_queries_have_names_and_most_have_sql():
     q, sql = catalog.queries(), catalog.oracle_sql()
-    assert len(q) > 120 and set(sql) <= set(q) and set(q) - set(sql) <= {"stat_isolation_forest", "fx_norm_dist", "fx_irr"}
+    assert len(q) > 120 and set(sql) <= set(q) and set(q) - set(sql) <= {"stat_isolation_forest"}
 
 
 def test_nothing_outside_llm_imports_it():
@@ -109,3 +109,12 @@ def test_what_if(spark):
     mc = whatif.monte_carlo(spark, 4000, {"a": {"kind": "normal", "mean": 10, "sd": 2}, "b": {"kind": "uniform", "low": 0, "high": 1}, "c": {"kind": "triangular", "low": 0, "mode": 1, "high": 2}, "d": {"kind": "poisson", "mean": 3}}, [[1, 0.8, 0, 0], [0.8, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
     r = mc.agg(F.avg("a"), F.avg("b"), F.avg("c"), F.avg("d"), F.corr("a", "b")).first()
     assert [r[0], r[1], r[2], r[3]] == [pytest.approx(10, abs=0.2), pytest.approx(0.5, abs=0.03), pytest.approx(1, abs=0.05), pytest.approx(3, abs=0.15)] and r[4] > 0.7
+
+
+def test_anomalies_by_score_and_by_number(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (2.0,), (100.0,), (None,)], "v double")
+    found = [r["v"] for r in C.anomalies(df, "v", key=["v"]).collect()]
+    assert found[:1] == [100.0] and None not in found
+    assert [r["v"] for r in C.anomalies(df, "v", 1.5, key=["v"]).collect()] == [100.0] and C.anomalies(df, "v", 3, key=["v"]).count() == 3
+    with pytest.raises(ValueError):
+        C.anomalies(df, "v", 0)
