@@ -27,7 +27,7 @@ for _names, _f in {
     "PRODUCT": lambda x: F.product(_n(x)), "SUMSQ": lambda x: F.coalesce(F.sum(_n(x) * _n(x)), lit(0.0)), "AVERAGEA": lambda x: F.avg(_coerced(x)), "MAXA": lambda x: F.max(_coerced(x)), "MINA": lambda x: F.min(_coerced(x)), "VARA": lambda x: F.var_samp(_coerced(x)), "VARPA": lambda x: F.var_pop(_coerced(x)), "STDEVA": lambda x: F.stddev_samp(_coerced(x)), "STDEVPA": lambda x: F.stddev_pop(_coerced(x)),
     "STDEV STDEV.S": lambda x: F.stddev_samp(_n(x)), "STDEVP STDEV.P": lambda x: F.stddev_pop(_n(x)), "VAR VAR.S": lambda x: F.var_samp(_n(x)), "VARP VAR.P": lambda x: F.var_pop(_n(x)), "DEVSQ": lambda x: F.var_pop(_n(x)) * F.count(_n(x)), "MEDIAN": lambda x: F.percentile(_n(x), lit(0.5)),
     "PERCENTILE PERCENTILE.INC": lambda x, p: F.percentile(_n(x), lit(p)), "QUARTILE QUARTILE.INC": lambda x, k: F.percentile(_n(x), lit(k / 4)), "GEOMEAN": lambda x: F.when(F.min(_n(x)) > 0, F.exp(F.avg(F.when(_n(x) > 0, F.ln(_n(x)))))), "HARMEAN": lambda x: F.when(F.min(_n(x)) > 0, F.count(_n(x)) / F.sum(F.when(_n(x) > 0, 1 / _n(x)))),
-    "AVEDEV": lambda x: (lambda a: F.aggregate(a, lit(0.0), lambda s, v: s + F.abs(v - F.aggregate(a, lit(0.0), lambda t, w: t + w) / F.size(a))) / F.size(a))(F.collect_list(_n(x))),
+    "AVEDEV": lambda x: F.aggregate(F.collect_list(_n(x)), lit(0.0), lambda s, v: s + F.abs(v - F.avg(_n(x)))) / F.nullif(F.count(_n(x)), lit(0)),
     "SKEW.P": lambda x: F.skewness(_n(x)), "SKEW": lambda x: F.when(F.count(_n(x)) > 2, F.skewness(_n(x)) * F.sqrt(F.count(_n(x)) * (F.count(_n(x)) - 1.0)) / F.nullif(F.count(_n(x)) - 2.0, lit(0.0))),
     "KURT": lambda x: F.when(F.count(_n(x)) > 3, ((F.count(_n(x)) + 1) * F.kurtosis(_n(x)) + 6) * (F.count(_n(x)) - 1) / ((F.count(_n(x)) - 2.0) * F.nullif(F.count(_n(x)) - 3.0, lit(0.0)))),
     "CORREL PEARSON": lambda a, b: F.corr(_n(a), _n(b)), "COVAR COVARIANCE.P": lambda a, b: F.covar_pop(_n(a), _n(b)), "COVARIANCE.S": lambda a, b: F.covar_samp(_n(a), _n(b)), "SLOPE": lambda y, x: F.regr_slope(_n(y), _n(x)), "INTERCEPT": lambda y, x: F.regr_intercept(_n(y), _n(x)), "RSQ": lambda y, x: F.regr_r2(_n(y), _n(x)),

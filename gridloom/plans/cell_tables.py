@@ -164,7 +164,7 @@ def _vy():
 
 _SXX, _SXY, _SYY = "regr_sxx(o_totalprice,o_custkey)", "regr_sxy(o_totalprice,o_custkey)", "regr_syy(o_totalprice,o_custkey)"
 _grouped("fx_aggregates_more", "orders", ["o_orderpriority"], lambda: [
-    ("sum_", "SUM", _v, "round(sum(o_totalprice),2)"), ("average_", "AVERAGE", _v, "avg(o_totalprice)"), ("min_", "MIN", _v, "min(o_totalprice)"), ("max_", "MAX", _v, "max(o_totalprice)"), ("averagea", "AVERAGEA", _v, "avg(o_totalprice)"), ("maxa", "MAXA", _v, "max(o_totalprice)"), ("mina", "MINA", _v, "min(o_totalprice)"), ("rows_", "ROWS", (), "count(*)"),
+    ("sum_", "SUM", lambda: (c("o_custkey"),), "sum(o_custkey)"), ("average_", "AVERAGE", _v, "avg(o_totalprice)"), ("min_", "MIN", _v, "min(o_totalprice)"), ("max_", "MAX", _v, "max(o_totalprice)"), ("averagea", "AVERAGEA", _v, "avg(o_totalprice)"), ("maxa", "MAXA", _v, "max(o_totalprice)"), ("mina", "MINA", _v, "min(o_totalprice)"), ("rows_", "ROWS", (), "count(*)"),
     ("percentile", "PERCENTILE", lambda: (c("o_totalprice"), 0.3), "quantile_cont(o_totalprice,0.3)"), ("quartileinc", "QUARTILE.INC", lambda: (c("o_totalprice"), 1), "quantile_cont(o_totalprice,0.25)"), 
     ("sumif", "SUMIF", lambda: (c("o_orderstatus"), "O", c("o_custkey")), "coalesce(sum(o_custkey) FILTER (o_orderstatus='O'),0)"), ("averageif", "AVERAGEIF", lambda: (c("o_orderstatus"), "O", c("o_custkey")), "avg(o_custkey) FILTER (o_orderstatus='O')"),
     ("pearson", "PEARSON", _vy, "corr(o_totalprice,o_custkey)"),

@@ -46,14 +46,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_scratch[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet under the shared scratch folder and read it back.
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Write df as Parquet under the shared scratch folder, packed by codec, and read it back.
 
     This cuts the lineage: later reads depend on files that all executors see.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gridloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     _written[id(back)] = (weakref.ref(back), path)
     return back
