@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import encoder as E
+from gridloom.llm import words as W
 from gridloom.llm.common import names_apart, token_file
 
+SLICE = 1 << 20
+
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", n: str = "n_tokens") -> DataFrame:
     """docs with the ids of each text (array of int) and their number.
 
     Nulls and empty texts have no ids. Other columns stay; where one has the
     name of a new column, the new one takes its place. Rows, repeated ones
-    too, are encoded one by one, so ties do not matter; memory is one Arrow
-    batch plus a bounded memo.
+    too, are encoded one by one, so ties do not matter; very long texts are
+    encoded whole. Memory is a slice of 1 MB, or one longer text, plus memos of
+    a bounded size.
     """
     path = path or token_file("word_bpe_49k.json")
     keep = names_apart(docs, [ids, n])
@@ -27,11 +31,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     def run(batches):
         import numpy as np
 
-        for b in batches:
-            flat = [E.encode_packed(path, t or "") for t in b.column(keep.index(text)).to_pylist()]
-            values = np.frombuffer(b"".join(flat), np.uint32).astype(np.int32)
-            offs = np.cumsum([0] + [len(x) // 4 for x in flat]).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(offs), pa.array(values))
+        for b in W.small_batches(batches, keep.index(text), SLICE, "encoder"):
+            values, offs = E.encode_column(path, b.column(keep.index(text)).cast(pa.string()))
+            made = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, made, pa.array(np.diff(offs).astype(np.int64))], [*keep, ids, n])
 
     schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType())).add(n, "long")
@@ -57,14 +59,19 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", out: str
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (see the contract of operator 6)."""
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (see the contract of operator 6).
+
+    Null and empty texts have no ids and an empty decoded text. Repeated rows
+    are encoded one by one; very long texts and runs without white space are
+    encoded whole, the latter in fragments between their certain cuts. Other
+    columns are not read; an empty table gives an empty result.
+    """
     path = path or token_file("word_bpe_49k.json")
 
     def run(batches):
-        for b in batches:
+        for b in W.small_batches(batches, 1, SLICE, "encoder"):
             n, a, d = [], [], []
-            for t in b.column(1).to_pylist():
-                ids, names = E.encode_texts(path, t or "")
+            for ids, names in E.encode_texts(path, b.column(1)):
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids.encode()).hexdigest())
                 d.append(hashlib.sha256(names.encode()).hexdigest())

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import encoder as E
+from gridloom.llm import words as W
 from gridloom.llm.common import token_file
-from gridloom.runtime import materialize
+from gridloom.runtime import discard, materialize
 
 MAGIC = b"GLDAC\0\1\0"
 BLOCK = 512
@@ -118,30 +119,50 @@ class Segment:
 
 
 SEGMENTS = "part int, segment int, n_tokens long, documents long, doc_ids binary, null_ids binary, codes binary"
+SLICE = 4 << 20
+
+
+def encoded(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
+    """(doc_id, hash of the text, width of an id in bytes, ids) of every row, encoded where the texts are read."""
+
+    def run(batches):
+        last = [] if end_id is None else [end_id]
+        for b in W.small_batches(batches, most=SLICE, keeps="encoder"):
+            ids, edge = E.encode_column(path, b.column(1))
+            ids, many = np.insert(ids, edge[1:].repeat(len(last)), last * (len(edge) - 1)), np.diff(edge) + len(last)
+            width = 2 if ids.max(initial=0) < 1 << 16 else 4
+            raw, cut = ids.astype(f"<u{width}").tobytes(), np.concatenate(([0], np.cumsum(many) * width))
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.full(len(many), width, np.int8)), blobs.cast(pa.binary())], ["doc_id", "mark", "width", "ids"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, "doc_id long, mark long, width byte, ids binary")
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int | None = 2, most_tokens: int = 1 << 21) -> DataFrame:
     """Encode docs (doc_id, text) and write their segments, in rising order of doc_id; returns the written table.
 
-    Null doc_ids come first; rows with one doc_id stand in the order of a
-    hash of their texts. Null texts are empty; a document without ids still
-    has its end id. A segment is closed when it has `most_tokens` ids, so
-    memory is one segment and one Arrow batch; a longer document makes a
-    longer segment. Files are written by Spark into the shared scratch folder:
-    each row of them is one segment.
+    Texts are encoded without a shuffle; only packed ids are dealt out by
+    ranges of doc_id. Null doc_ids come first; rows with one doc_id stand in
+    the order of a hash of their texts. Null and empty texts have no ids; a
+    document without ids still has its end id. A segment is closed when it has
+    `most_tokens` ids, so memory is one segment and one Arrow batch; a longer
+    document makes a longer segment. Other columns are not read; an empty
+    table gives no segment. Files are written by Spark into the shared scratch
+    folder, as Parquet: each row is one segment, its bytes in the column codes.
     """
     path = path or token_file("word_bpe_49k.json")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    end = b"" if end_id is None else E.packed([end_id])
+    ids = materialize(encoded(docs, path, end_id), "dac-ids", "zstd")
 
     def segments(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        ids, sizes, names, number = [], [], [], 0
+        held, sizes, names, number = [], [], [], 0
 
         def close():
-            flat = np.frombuffer(b"".join(ids), np.uint32)
+            flat = np.concatenate(held)
             starts = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
             missing = np.array([x is None for x in names], bool)
             known = np.array([x or 0 for x in names], "<i8")
@@ -151,24 +172,31 @@ def write(docs: DataFrame, path: str | None = None, end_id: int | None = 2, most
 
         filled = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                own = E.encode_packed(path, t.as_py() or "") + end
-                ids.append(own)
+            for i, width, raw in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
+                own = np.frombuffer(raw, f"<u{width}")
+                held.append(own)
                 names.append(i)
-                sizes.append(len(own) // 4)
-                filled += sizes[-1]
+                sizes.append(len(own))
+                filled += len(own)
                 if filled >= most_tokens:
                     yield close()
-                    ids, sizes, names, number, filled = [], [], [], number + 1, 0
+                    held, sizes, names, number, filled = [], [], [], number + 1, 0
         if names:
             yield close()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(dealt.mapInArrow(segments, SEGMENTS), "dac")
+    dealt = ids.repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
+    files = materialize(dealt.mapInArrow(segments, SEGMENTS), "dac", "zstd")
+    discard(ids)
+    return files
 
 
 def read_back(files: DataFrame) -> DataFrame:
-    """From the segments: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """From the segments: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Each document is read by direct access through the rank directories of
+    its segment. Null doc_ids, documents without ids, documents longer than a
+    segment and repeated rows come back as they were written; no segment, no rows.
+    """
     seg = files.select("part", "segment", "n_tokens")
     parts = seg.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the writer
@@ -180,9 +208,8 @@ def read_back(files: DataFrame) -> DataFrame:
         for b in batches:
             for part, number, m, doc_ids, nulls, codes in zip(*(b.column(c).to_pylist() for c in ("part", "segment", "documents", "doc_ids", "null_ids", "codes"))):
                 seg = Segment(codes)
-                ids = seg.all().astype("<u4")
                 cut = seg.starts.astype(np.int64)
-                crc = [zlib.crc32(ids[a:z]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                crc = [zlib.crc32(seg.document(d).astype("<u4")) for d in range(m)]
                 missing = np.unpackbits(np.frombuffer(nulls, np.uint8), count=m).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, number, np.int32)), pa.array(np.frombuffer(doc_ids, "<i8"), mask=missing), pa.array(cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], ["part", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
@@ -191,5 +218,5 @@ def read_back(files: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The query's rows: encode, write, read back."""
+    """The query's rows: encode, write, read back. Nulls, ties, empty and long texts: see write and read_back."""
     return read_back(write(docs, path))

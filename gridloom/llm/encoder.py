@@ -14,10 +14,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from itertools import chain
 from operator import add
 
 import numpy as np
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from gridloom.llm import words as W
 
@@ -31,7 +32,7 @@ def _byte_sign(b: int) -> str:
 class Memo(dict):
     """A dict that computes what it lacks and forgets the less recent half beyond about 2 * limit bytes."""
 
-    def __init__(self, compute, limit: int = 48 << 20):
+    def __init__(self, compute, limit: int = 24 << 20):
         super().__init__()
         self.compute, self.limit, self.used, self.old = compute, limit, 0, {}
 
@@ -39,16 +40,19 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         size = 220 + 2 * len(key) + (len(value) if isinstance(value, (bytes, str)) else sum(map(len, value)))
         if size > self.limit >> 3:
-            return value  # one very long run
+            return  # one very long run
         if self.used >= self.limit:
             self.old = dict(self)
             self.clear()
             self.used = 0
         self.used += size
         self[key] = value
-        return value
 
 
 class CutEncoder:
@@ -81,6 +85,9 @@ class CutEncoder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.name = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.pretokens = Memo(self._pretoken)
+        # the two models behind a splitter at white space, which no fragment holds: many fragments are encoded in one call
+        self.many_last, self.many_inner = Tokenizer(self.last), Tokenizer(self.inner)
+        self.many_last.pre_tokenizer = self.many_inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # letters that are composed already and lower-case one by one, then ASCII signs that form one pre-token
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)\Z").match
         self.signs = str.maketrans({chr(c): "".join(map(_byte_sign, chr(c).encode())) for c in (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))})
@@ -99,21 +106,54 @@ class CutEncoder:
             ids = [t.id for part in parts[:-1] for t in self.inner.tokenize(part)] + ids
         return packed(ids)
 
-    def run(self, chunk: str) -> bytes:
-        """Packed ids of a run of characters without white space (or of any text)."""
+    def pieces(self, chunk: str) -> list[str | int]:
+        """The pre-tokens of a run of characters without white space (or of any text), and the ids of its special tokens."""
         if plain := self.plain(chunk):  # letters only: one pre-token, equal to its lower-cased form
             letters, signs = plain.groups()
             letters = letters.lower()
-            ids = self.pretokens[letters if letters.isascii() else letters.translate(self.signs)]
-            return ids + self.pretokens[signs] if signs else ids
-        ids = b""
+            letters = letters if letters.isascii() else letters.translate(self.signs)
+            return [letters, signs] if signs else [letters]
+        out: list[str | int] = []
         for part in self.split_special.split(chunk) if self.split_special and "<" in chunk else (chunk,):
             if part in self.special:
-                ids += packed([self.special[part]])
+                out.append(self.special[part])
             elif part:
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    ids += self.pretokens[piece]
-        return ids
+                out += [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+        return out
+
+    def run(self, chunk: str) -> bytes:
+        """Packed ids of a run."""
+        return b"".join([self.pretokens[x] if isinstance(x, str) else packed([x]) for x in self.pieces(chunk)])
+
+    def runs(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of many runs: the fragments of pre-tokens that are not known yet are encoded together."""
+        split = list(map(self.pieces, chunks))
+        memo, old, found, new = self.pretokens, self.pretokens.old, {}, {}
+        for x in set(chain.from_iterable(split)):
+            if x.__class__ is int:
+                found[x] = packed([x])
+            elif (ids := memo.get(x) or old.get(x)) is not None:
+                found[x] = ids
+            else:
+                new[x] = self.fragments(x)
+        last = self._bulk(self.many_last, {f[-1] for f in new.values()})
+        inner = self._bulk(self.many_inner, {x for f in new.values() if len(f) > 1 for x in f[:-1]})
+        for x, f in new.items():
+            found[x] = ids = last[f[0]] if len(f) == 1 else b"".join([inner[y] for y in f[:-1]]) + last[f[-1]]
+            memo.put(x, ids)
+        return [found[own[0]] if len(own) == 1 else b"".join([found[x] for x in own]) for own in split]
+
+    @staticmethod
+    def _bulk(tokenizer: Tokenizer, fragments, most: int = 10_000) -> dict[str, bytes]:
+        """Packed ids of each of these different fragments; for the tokenizer, which splits at white space, each is a word."""
+        out, listed = {}, list(fragments)
+        for lo in range(0, len(listed), most):
+            part = listed[lo : lo + most]
+            made = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            edge = (4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            raw = np.array(made.ids, "<u4").tobytes()
+            out.update(zip(part, [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]))
+        return out
 
     def words(self, text: str) -> list[str]:
         """The text's runs between ASCII white space."""
@@ -124,6 +164,7 @@ class CutEncoder:
 
 
 _by_path: dict[str, CutEncoder] = {}
+W.HELD["encoder"] = _by_path.clear
 
 
 def encoder(path: str) -> CutEncoder:
@@ -137,50 +178,42 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-_bytes_memo: dict[str, Memo] = {}
-_text_memo: dict[str, Memo] = {}
-
-
 def encode_packed(path: str, text: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers."""
     enc = encoder(path)
-    memo = _bytes_memo.get(path)
-    if memo is None:
-        memo = _bytes_memo[path] = Memo(enc.run)
-    return b"".join(map(memo.__getitem__, enc.words(text)))
+    return b"".join(map(enc.run, enc.words(text)))
 
 
-def encode_column(path: str, column) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts of an Arrow column one after the other, where each text's begin and the last one's end).
+def encode_runs(path: str, column) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(packed ids of each different run between white space, which of them each run is, where each text's runs begin and the last one's end).
 
-    Runs between white space are told apart by their 64-bit hashes and then
-    by their bytes, so that each different one is looked up once.
+    Runs are told apart by their 64-bit hashes and then by their bytes, so
+    that each different one of an Arrow column is encoded once.
     """
-    enc = encoder(path)
-    memo = _bytes_memo.get(path)
-    if memo is None:
-        memo = _bytes_memo[path] = Memo(enc.run)
     data, offs = W.text_buffers(column)
     first, hashes, starts, ends = W.word_hashes(data, offs, lower=False, spans=True)
     at, which = W.distinct_runs(data, hashes, starts, ends)
     raw = data.tobytes()
-    codes = [memo[raw[a:b].decode()] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-    ids, edge = W.spread(np.array([len(c) >> 2 for c in codes], np.int64), which, np.frombuffer(b"".join(codes), np.uint32))
-    return ids, edge[first]
+    return encoder(path).runs([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]), which, first
 
 
-def _written(enc: CutEncoder, run: str) -> tuple[str, str]:
-    ids = memoryview(enc.run(run)).cast("I")
-    return " ".join(map(str, ids)), " ".join(map(enc.name.__getitem__, ids))
+def encode_column(path: str, column) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts of an Arrow column one after the other, where each text's begin and the last one's end)."""
+    codes, which, first = encode_runs(path, column)
+    ids, edge = W.spread(np.array([len(c) >> 2 for c in codes], np.int64), which, np.frombuffer(b"".join(codes), np.uint32))
+    return ids, edge[first]
 
 
-def encode_texts(path: str, text: str) -> tuple[str, str]:
-    """Decimal ids joined by spaces, and the decoded text (tokens joined by spaces)."""
-    enc = encoder(path)
-    memo = _text_memo.get(path)
-    if memo is None:
-        memo = _text_memo[path] = Memo(lambda w: _written(enc, w))
-    both = list(map(memo.__getitem__, enc.words(text)))
-    if ("", "") in both:  # a run without ids
-        both = [x for x in both if x[0]]
-    return " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
+def encode_texts(path: str, column) -> list[tuple[str, str]]:
+    """For each text of an Arrow column its decimal ids joined by spaces, and its decoded text (tokens joined by spaces)."""
+    name = encoder(path).name
+    codes, which, first = encode_runs(path, column)
+    ids = [memoryview(c).cast("I") for c in codes]
+    numbers = [" ".join(map(str, x)) for x in ids]
+    names = [" ".join(map(name.__getitem__, x)) for x in ids]
+    some = np.array([len(c) > 0 for c in codes], bool)[which] if len(codes) else np.zeros(0, bool)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        own = which[a:b][some[a:b]].tolist()  # a run may have no ids
+        out.append((" ".join([numbers[k] for k in own]), " ".join([names[k] for k in own])))
+    return out
