@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
-from gridloom.llm.common import connected_components, edge_table, grouped, in_blocks, small_or_shuffled
+from gridloom.llm.common import connected_components, edge_table, free_name, grouped, in_blocks, small_or_shuffled
 from gridloom.runtime import materialize
 
 _U = np.uint64
@@ -94,24 +94,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class CountTree:
-    """A packed R-tree over count vectors, in rising order of set size."""
+    """An R-tree over count vectors, packed in the order of the points (see packing), with coordinate maxima and the sizes' range in each node."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.levels = [(counts, sizes)]
+        self.levels = [(counts, sizes, sizes)]
         while len(self.levels[-1][1]) > LEAF:
-            c, n = self.levels[-1]
-            at = np.arange(0, len(n), LEAF)
-            self.levels.append((np.maximum.reduceat(c, at, axis=0), n[at]))  # sizes rise: the first is the least
+            c, low, high = self.levels[-1]
+            at = np.arange(0, len(low), LEAF)
+            self.levels.append((np.maximum.reduceat(c, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def search(self, query: np.ndarray, size: int, percent: int, upto: int, low: int) -> np.ndarray:
-        """Points in [low, upto) whose bound reaches the overlap needed with a set of this size."""
+    def search(self, query: np.ndarray, size: int, percent: int, upto: int) -> np.ndarray:
+        """Points before `upto` whose bound reaches the overlap needed with a set of this size."""
         pick = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            span = LEAF**depth
-            pick = pick[(pick * span < upto) & ((pick + 1) * span > low)]
-            counts, sizes = self.levels[depth]
+            pick = pick[pick * LEAF**depth < upto]
+            counts, low, high = self.levels[depth]
+            pick = pick[(100 * high[pick] >= percent * size) & (percent * low[pick] <= 100 * size)]
             bound = np.minimum(counts[pick], query).sum(axis=1)
-            least = np.maximum(sizes[pick], -(-percent * size // 100))
+            least = np.maximum(low[pick], -(-percent * size // 100))
             pick = pick[bound >= needed(size, least, percent)]
             if depth:
                 pick = (pick[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -119,6 +119,15 @@ class CountTree:
         return pick
 
 
+def packing(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order in which near points are neighbours: tiles by size, inside a tile by a fixed projection of the shares."""
+    by_size = np.argsort(sizes, kind="stable")
+    tile = np.empty(len(sizes), np.int64)
+    tile[by_size] = np.arange(len(sizes)) // (LEAF * LEAF)
+    along = (counts / np.maximum(sizes, 1)[:, None]) @ np.cos(np.arange(counts.shape[1]) * 2.399963)
+    return np.lexsort((along, tile))
+
+
 def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all of these texts that the similarity connects: (id, another id)."""
     first: dict[bytes, int] = {}
@@ -129,23 +138,20 @@ def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
             keep.append(k)
         elif ids[j] != i:
             out.append((i, ids[j]))
-    keep.sort(key=lambda k: len(sets[k]))
-    own = [sets[k] for k in keep]
-    sizes = np.array([len(s) for s in own], np.int64)
-    n = len(own)
+    n = len(keep)
     if n < 2:
         return out
+    sizes = np.array([len(sets[k]) for k in keep], np.int64)
     bits = int(np.clip(np.log2(max(1, np.median(sizes)) / 4), 4, 8))
-    counts = np.stack([np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) for s in own]).astype(np.int32)
+    counts = np.stack([np.bincount((sets[k] >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) for k in keep]).astype(np.int32)
+    order = packing(counts, sizes)
+    keep, sizes, counts = [keep[k] for k in order.tolist()], sizes[order], counts[order]
+    own = [sets[k] for k in keep]
     tree = CountTree(counts, sizes)
     root = np.arange(n)
     for a in range(1, n):
-        low = int(np.searchsorted(sizes, -(-percent * int(sizes[a]) // 100)))
-        if low >= a:
-            continue
-        found = tree.search(counts[a], int(sizes[a]), percent, a, low)
-        found = found[(found < a) & (found >= low)]
-        for b in found[::-1].tolist():
+        found = tree.search(counts[a], int(sizes[a]), percent, a)
+        for b in found[found < a][::-1].tolist():
             if root[b] != root[a]:
                 common = overlap(own[a], own[b])
                 if 100 * common >= percent * (int(sizes[a]) + int(sizes[b]) - common):
@@ -154,7 +160,7 @@ def local_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     return out
 
 
-def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000) -> DataFrame:
+def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000, bucket_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a text's set
@@ -164,12 +170,15 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000)
     Rows with one doc_id are one node. A null doc_id has a null component and
     no links. Other columns are not read; an empty table gives an empty result.
 
+    Very long texts are read whole.
+
     Memory: a task holds its Arrow batch, one key for each distinct set that
-    it met, one bucket of keys, or a block of at most `block` shingles.
+    it met, one bucket of keys (there is one for every `bucket_bytes` of text,
+    so buckets do not grow with the input), or a block of at most `block` shingles.
     """
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
 
     def sets_of(column):
         first, hashes = W.word_hashes(*W.text_buffers(column), lower=True)
@@ -248,6 +257,11 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the texts that link to one with a smaller doc_id in their group; columns unchanged."""
-    gone = materialize(groups(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(small_or_shuffled(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs without the texts that link to one with a smaller doc_id in their group; columns unchanged.
+
+    Rows without doc_id, text or words stay, as do rows that share the doc_id
+    that stays; long texts are compared whole. An empty table gives an empty result.
+    """
+    name = free_name(docs, "__gone")
+    gone = materialize(groups(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(small_or_shuffled(gone), docs["doc_id"].cast("long") == F.col(name), "left_anti")

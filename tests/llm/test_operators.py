@@ -626,3 +626,21 @@ def test_mix_takes_the_targets_and_inverts_the_demand(spark):
             assert abs(word - round(word)) < 1e-3
     placed = curriculum.ordered(curriculum.plan(small)).collect()
     assert [r["position"] for r in placed] == sorted(r["position"] for r in placed)
+
+
+def test_count_tree_finds_every_point_in_reach():
+    rng = np.random.default_rng(3)
+    centres = [np.unique(W.mix(rng.integers(0, 1 << 40, n).astype(np.uint64))) for n in (20, 60, 61, 200)]
+    sets = [np.unique(np.concatenate([c[rng.permutation(len(c))[: len(c) - int(rng.integers(0, 5))]], W.mix(rng.integers(1 << 41, 1 << 42, int(rng.integers(0, 4))).astype(np.uint64))])) for c in centres for _ in range(700)]
+    sizes = np.array([len(s) for s in sets])
+    counts = np.stack([np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) for s in sets])
+    order = ngram_join.packing(counts, sizes)
+    assert sorted(order.tolist()) == list(range(len(sets)))
+    tree = ngram_join.CountTree(counts[order], sizes[order])
+    assert len(tree.levels) == 3
+    for a in rng.integers(0, len(sets), 40).tolist():
+        found = set(tree.search(counts[order[a]], int(sizes[order[a]]), 80, len(sets)).tolist())
+        for b in rng.integers(0, len(sets), 200).tolist():
+            common = len(np.intersect1d(sets[order[a]], sets[order[b]]))
+            if 100 * common >= 80 * (sizes[order[a]] + sizes[order[b]] - common):
+                assert b in found
