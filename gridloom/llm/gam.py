@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
+from gridloom.llm.common import free_name, small_or_shuffled
 from gridloom.runtime import materialize
 
 #: What the model sees of a text; nothing of lang, source, ids or labels.
@@ -168,14 +169,15 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x array of double) of every whole text."""
+    """(doc_id, rid, x array of double) of every whole text; rid is a hash of doc_id and text."""
 
     def run(batches):
         for b in W.small_batches(batches, most=1 << 19):
             x = measure(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))], ["doc_id", "rid", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("rid")).mapInArrow(run, "doc_id long, rid long, x array<double>")
 
 
 def held_out(doc_id) -> F.Column:
@@ -186,45 +188,50 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = 20_000) -> Gam:
     """Train on at most `sample` labelled rows outside the held-out third: those with the smallest hash of doc_id.
 
     `sample` is the documented bound of what reaches the driver. Labels other
-    than 0 and 1 are ignored; of several labels for a doc_id the smallest counts.
+    than 0 and 1 are ignored; of several labels for a doc_id the smallest counts,
+    of several texts the one with the smallest rid, so reruns learn the same.
     """
     known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rows.dropDuplicates(["doc_id"]).join(chosen, "doc_id").select("doc_id", "x", "quality").toArrow()
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("rid", "x")).alias("r")).select("doc_id", "r.x", "quality").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy())
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))[order]
     return train(x, got.column("quality").to_numpy().astype(float)[order])
 
 
-def scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, held_out, score (higher: label 1 likelier), predicted.
-
-    Null and empty texts are scored like any text of zeros. Without labels
-    every score is 0.5. Repeated rows are scored one by one. Other columns
-    are not read.
-    """
+def scored(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, rid, score) of every row; texts are measured once, the model is fitted and applied to what was measured."""
     rows = materialize(features(docs), "features")
     model = fit(rows, labels, sample)
 
     def run(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(x))], ["doc_id", "rid", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, "doc_id long, rid long, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """docs without those that the classifier rejects (score below 0.5); columns unchanged."""
-    rows = materialize(features(docs), "features")
-    model = fit(rows, labels, sample)
-    names = docs.columns
-    at = names.index("text")
+def scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
+    """One row per document: doc_id, held_out, score (higher: label 1 likelier), predicted.
+
+    Null and empty texts are scored like any text of zeros, very long ones
+    whole (a slice holds 0.5 MB or one longer text). Without labels every
+    score is 0.5. Repeated rows are scored one by one, equal texts equally.
+    Other columns are not read; an empty table gives an empty result.
+    """
+    found = scored(docs, labels, sample)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def run(batches):
-        for b in W.small_batches(batches, at, 1 << 19):
-            text = b.column(at)
-            yield b.filter(pa.array(model.score(measure(text.cast(pa.string()))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
+    """docs without those that the classifier rejects (score below 0.5); columns and repeated rows unchanged.
+
+    Nulls, empty and very long texts, ties and empty tables: as for scores. A
+    row is found again by its doc_id (null too) and the hash of doc_id and
+    text, so columns of any other name pass through untouched.
+    """
+    own, other = free_name(docs, "__doc"), free_name(docs, "__rid")
+    bad = scored(docs, labels, sample).where("score < 0.5").select(F.col("doc_id").alias(own), F.col("rid").alias(other)).distinct()
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return docs.join(small_or_shuffled(materialize(bad, "rejected")), (F.xxhash64(doc_id, text) == F.col(other)) & doc_id.eqNullSafe(F.col(own)), "left_anti")

@@ -42,7 +42,7 @@ _RANGES = 64
 _LONG = 100  # sets with more words carry 256 bits of parity, others 64
 _PIECE = 1 << 12  # lines: 12 bits of line, 8 of rank and 44 of token make 64
 _FULL = 65_535
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def rank_of(count) -> np.ndarray:
@@ -368,7 +368,7 @@ def later_matches(docs: DataFrame, percent: int = 80, most: int = 8, best: int =
 
         def entries(batches):
             own = np.frombuffer(table.value, np.uint8)
-            only = None if flags is None else np.unpackbits(np.frombuffer(flags.value, np.uint8), bitorder="little").astype(bool)
+            only = None if flags is None else np.unpackbits(np.frombuffer(flags.value, np.uint8), bitorder="little").view(bool)
             seen: dict[int, tuple[int, int, int]] = {}
             for b in W.small_batches(batches, 2, SLICE):
                 lines = Lines(b.column(2), own, only)
@@ -423,6 +423,7 @@ def later_matches(docs: DataFrame, percent: int = 80, most: int = 8, best: int =
             whole = [pa.concat_arrays([pa.array(g[c]), pa.array(ex[c])]) for c in spot]
             whole += [pa.concat_arrays([none.cast(t), pa.array(ey[c])]) for c, t in zip(spot, (pa.int64(), pa.int64(), pa.int32()))]
             whole.append(pa.concat_arrays([pa.array(np.zeros(len(g), bool)), pa.array(more)]))
+            W.release()
             return pa.table(whole, [c.split()[0] for c in _MET.split(", ")])
 
         found = source.mapInArrow(entries, "bucket int, entries binary, wide binary, gone binary").groupBy("bucket").applyInArrow(join, _MET)

@@ -17,7 +17,8 @@ _IS_SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = " \t\n\r\x0b\x0c"
 #: Code point ranges that tell scripts apart; the first that holds most letters wins. Fixed values.
 _SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7A3))
-_pieces: dict[str, tuple] = {}
+_pieces: dict[tuple[str, str], tuple] = {}
+W.HELD["pieces"] = _pieces.clear
 
 FEATURES = "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_token2 double, fallback_share double, token_entropy double"
 
@@ -85,8 +86,8 @@ def features(docs: DataFrame, path: str | None = None, other: str | None = None)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches):
-        memo, raw = _vocabulary(path, other)
-        for b in W.small_batches(batches, most=1 << 20):
+        for b in W.small_batches(batches, most=1 << 20, keeps="pieces"):
+            memo, raw = _vocabulary(path, other)
             data, offs = W.text_buffers(b.column(1))
             first, hashes, starts, ends = W.word_hashes(data, offs, lower=False, spans=True)
             many = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[offs])

@@ -9,6 +9,9 @@ segment of ``SEGMENT`` bytes, and 8 bytes for each word.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -143,8 +146,20 @@ def shingle_sets(first: np.ndarray, hashes: np.ndarray, k: int):
             yield hashes[:0]
 
 
-def small_batches(batches, at: int = 1, most: int = 4 << 20):
-    """The record batches cut into slices whose text column (at) has about `most` bytes, or one longer text."""
+#: What operators hold in a worker between tasks: name -> function that drops it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def small_batches(batches, at: int = 1, most: int = 4 << 20, keeps: str = ""):
+    """The record batches cut into slices whose text column (at) has about `most` bytes, or one longer text.
+
+    Workers live on between stages: at the start, what other operators hold
+    than the one that is named in `keeps` is dropped; at the end, memory is given back.
+    """
+    for name, drop in HELD.items():
+        if name != keeps:
+            drop()
+    release()
     for b in batches:
         _, offs = text_buffers(b.column(at))
         lo = 0
@@ -152,3 +167,13 @@ def small_batches(batches, at: int = 1, most: int = 4 << 20):
             hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1)
             yield b.slice(lo, hi - lo)
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
