@@ -2,15 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; all but the last return the columns of documents.
+
+Of every stage: rows without doc_id or text, empty and very long texts, ties,
+repeated rows, empty tables and columns of any name are handled as the
+operator that it calls says; extra columns pass through unchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import bpe_codec, curriculum, gam, line_dedup, ngram_join
-from gridloom.llm.common import small_or_shuffled
 from gridloom.runtime import materialize, ship
 
 
@@ -23,9 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matches of lines go from the texts; a document that has no word left thereby goes too."""
     ship(spark)
-    out = line_dedup.dedup(docs, drop_emptied=True)
-    length = {"n_chars": F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return out.withColumns(length).select(*docs.columns)
+    return line_dedup.clean(docs)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +37,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, in training order."""
     ship(spark)
-    base = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-input")
-    small = base.select("__row", F.col("doc_id").cast("long"), F.col("source").cast("string"), curriculum.word_count(F.col("text")).alias("size"))
-    planned = materialize(curriculum.plan(small).where("copies > 0").select(F.col("__row").alias("__r"), "positions"), "mix-plan")
-    rows = base.join(small_or_shuffled(planned, 200_000), F.col("__row") == F.col("__r"))
-    return curriculum.ordered(rows).select(*docs.columns)
+    return curriculum.mixed(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
