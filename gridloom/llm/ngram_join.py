@@ -256,12 +256,14 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 4_000_000) -> DataFrame:
     """docs without the texts that link to one with a smaller doc_id in their group; columns unchanged.
 
     Rows without doc_id, text or words stay, as do rows that share the doc_id
-    that stays; long texts are compared whole. An empty table gives an empty result.
+    that stays; long texts are compared whole. An empty table gives an empty
+    result. A block holds 32 MB of hashes: smaller ones copy the rows of a large
+    candidate component too often.
     """
     name = free_name(docs, "__gone")
-    gone = materialize(groups(docs, k, percent).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    gone = materialize(groups(docs, k, percent, block).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
     return docs.join(small_or_shuffled(gone), docs["doc_id"].cast("long") == F.col(name), "left_anti")
