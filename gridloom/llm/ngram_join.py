@@ -7,8 +7,11 @@ counts of the groups are a point. Two uses are made of the groups:
   shingles, D following from their sizes. Cut into more than D groups, they
   agree wholly in some group. So each text is routed by a hash of what each of
   its groups holds; only texts that agree in a group are candidates, and no
-  linked pair is lost. (D + 1 groups of a few shingles each make keys that
-  unrelated texts hardly share, even with a passage in common.)
+  linked pair is lost. Texts with a passage in common may agree in a group by
+  chance, and such pairs would chain a growing part of a corpus together. So
+  pairs pass a parity sketch before components are made: bit i of a sketch is
+  the parity of the shingles that fall to it, so two sketches differ in no
+  more bits than the sets in shingles, and no linked pair is lost here either.
 * Search. The points of a component of candidates are packed into an R-tree.
   The sum over groups of the smaller of a query's count and a node's largest
   count bounds the overlap with every text below the node; nodes and points
@@ -30,6 +33,8 @@ from gridloom.runtime import materialize
 
 _U = np.uint64
 LEAF = 32
+PAIRED = 8  # texts that agree in a group: up to so many are taken as pairs
+_KEYS, _SURE, _SKETCH, _PAIR, _LIST = range(5)
 
 
 @lru_cache(maxsize=None)
@@ -93,6 +98,74 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def sketch_words(n):
+    """64-bit words of the sketch of a set of size n: a power of two that gives n to 2 n bits, 64 at least."""
+    return 1 << np.maximum(np.frexp(np.asarray(n, float))[1].astype(np.int64) - 6, 0)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of the numbers of hashes that fall to each bit; a sketch of half the width is the XOR of both halves."""
+    bits = 64 * int(sketch_words(len(s)))
+    return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one a row) of fewer words."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def may_link(x: np.ndarray, y: np.ndarray, a, b, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b with these sketches (one a row, of one width) can reach the similarity."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (differ <= a + b - 2 * needed(a, b, percent))
+
+
+def sketch_pairs(a: np.ndarray, x: list[bytes], b: np.ndarray, y: list[bytes], percent: int) -> np.ndarray:
+    """may_link of each pair of rows: sizes a and b, sketches x and y."""
+    out = np.zeros(len(a), bool)
+    wa, wb = sketch_words(a), sketch_words(b)
+    fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    for u, v in set(zip(wa[fits].tolist(), wb[fits].tolist())):
+        at = np.flatnonzero(fits & (wa == u) & (wb == v))
+        one, two = (np.frombuffer(b"".join([z[k] for k in at.tolist()]), _U).reshape(-1, w) for z, w in ((x, u), (y, v)))
+        out[at] = may_link(folded(one, min(u, v)), folded(two, min(u, v)), a[at], b[at], percent)
+    return out
+
+
+def sketch_links(ids: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs (id, another id) that connect all of these texts that may_link connects."""
+    order = sorted(range(len(ids)), key=sizes.__getitem__)
+    n = np.array([sizes[k] for k in order], np.int64)
+    width = sketch_words(n)
+    edge = [*np.flatnonzero(np.diff(width, prepend=0)).tolist(), len(n)]
+    classes = [(lo, hi, np.frombuffer(b"".join([sketches[order[k]] for k in range(lo, hi)]), _U).reshape(hi - lo, -1)) for lo, hi in zip(edge[:-1], edge[1:])]
+    low = np.searchsorted(100 * n, percent * n)
+    root, first, out = np.arange(len(n)), np.ones(len(n), bool), []
+    for c, (start, end, rows) in enumerate(classes):
+        for a in range(start, end):
+            own = rows[a - start : a - start + 1]
+            # the first member of each tree is tried before all members of the trees that a is not in
+            for leaders in (True, False):
+                for lo, hi, others in classes[c::-1]:
+                    lo_, hi_ = max(lo, int(low[a])), min(hi, a)
+                    if lo_ >= hi_:
+                        continue
+                    pick = lo_ + np.flatnonzero(first[lo_:hi_] if leaders else root[lo_:hi_] != root[a])
+                    if not len(pick):
+                        continue
+                    hits = pick[may_link(folded(own, others.shape[1]), others[pick - lo], n[a], n[pick], percent)]
+                    for b in hits[np.unique(root[hits], return_index=True)[1]].tolist():
+                        if root[b] != root[a]:
+                            gone, kept = max(root[a], root[b]), min(root[a], root[b])
+                            root[root == gone], first[gone] = kept, False
+                            if ids[order[a]] != ids[order[b]]:
+                                out.append((ids[order[a]], ids[order[b]]))
+    return out
+
+
 class CountTree:
     """An R-tree over count vectors, packed in the order of the points (see packing), with coordinate maxima and the sizes' range in each node."""
 
@@ -174,7 +247,8 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
 
     Memory: a task holds its Arrow batch, one key for each distinct set that
     it met, one bucket of keys (there is one for every `bucket_bytes` of text,
-    so buckets do not grow with the input), or a block of at most `block` shingles.
+    so buckets do not grow with the input), sketches of `block` words, or a
+    block of at most `block` shingles.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -187,7 +261,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
     def route(batches):
         seen: dict[bytes, int] = {}
         for b in W.small_batches(batches, most=3 << 20):
-            keys, owners, many, same, rep = [], [], [], [], []
+            keys, owners, many, same, rep, marks = [], [], [], [], [], []
             for i, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
                 if i is None or not len(s):
                     continue
@@ -200,36 +274,85 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
                 keys.append(own)
                 owners.append(i)
                 many.append(len(own))
+                marks.append((i, len(s), sketch(s)))
             flat = np.concatenate(keys) if keys else np.zeros(0, _U)
             owner = np.repeat(np.array(owners, np.int64), many)
             bucket = ((flat >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             flat, owner = flat[order], owner[order]
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(x, False, flat[edge[x] : edge[x + 1]].tobytes(), owner[edge[x] : edge[x + 1]].tobytes()) for x in np.flatnonzero(np.diff(edge)).tolist()]
+            rows = [(x, _KEYS, flat[edge[x] : edge[x + 1]].tobytes(), owner[edge[x] : edge[x + 1]].tobytes()) for x in np.flatnonzero(np.diff(edge)).tolist()]
             if same:
-                rows.append((hash(same[0]) % buckets, True, np.array(same, np.int64).tobytes(), np.array(rep, np.int64).tobytes()))
+                rows.append((hash(same[0]) % buckets, _SURE, np.array(same, np.int64).tobytes(), np.array(rep, np.int64).tobytes()))
+            if marks:
+                rows.append((hash(owners[0]) % buckets, _SKETCH, b"".join([x for _, _, x in marks]), np.array([m[:2] for m in marks], np.int64).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], ["bucket", "sure", "keys", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int8(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "owners"])
 
     def meet(table: pa.Table) -> pa.Table:
-        sure = table.column("sure").to_pylist()
+        kinds = table.column("kind").to_pylist()
         keys, owners = table.column("keys").to_pylist(), table.column("owners").to_pylist()
-        join = lambda x, w, kind: np.frombuffer(b"".join(v for v, s in zip(x, sure) if s == w), kind)
-        u, v = join(keys, True, np.int64), join(owners, True, np.int64)
-        key, owner = join(keys, False, _U), join(owners, False, np.int64)
-        order = np.argsort(key)
+        join = lambda x, w, kind: np.frombuffer(b"".join(v for v, s in zip(x, kinds) if s == w), kind)
+        sure = edge_table(join(keys, _SURE, np.int64), join(owners, _SURE, np.int64))
+        marks = join(owners, _SKETCH, np.int64).reshape(-1, 2)
+        cut = np.concatenate(([0], np.cumsum(8 * sketch_words(marks[:, 1])))).astype(np.int64)
+        raw = b"".join(v for v, s in zip(keys, kinds) if s == _SKETCH)
+        blobs = pa.Array.from_buffers(pa.large_binary(), len(marks), [None, pa.py_buffer(cut), pa.py_buffer(raw)]).cast(pa.binary())
+        key, owner = join(keys, _KEYS, _U), join(owners, _KEYS, np.int64)
+        order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        lead = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-        other = ~start & (owner != owner[lead])
-        a, b = edge_table(u, v), edge_table(owner[other], owner[lead][other])
-        return pa.table([pa.concat_arrays([a.column(c), b.column(c)]) for c in (0, 1)] + [pa.array([True] * len(a) + [False] * len(b), pa.bool_())], ["u", "v", "sure"])
-
-    routed = base.mapInArrow(route, "bucket int, sure boolean, keys binary, owners binary")
-    edges = materialize(routed.groupBy("bucket").applyInArrow(meet, "u long, v long, sure boolean"), "routes")
-    candidates = materialize(connected_components(edges.where("NOT sure").select("u", "v")).select(F.col("node").alias("__node"), F.col("component").alias("comp")), "candidates")
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        many = np.diff(start, append=len(key))
+        size = np.repeat(many, many)
+        ends = []  # small groups as pairs
+        for d in range(1, PAIRED):
+            at = np.flatnonzero((size[d:] <= PAIRED) & (key[d:] == key[: len(key) - d]) if len(key) > d else np.zeros(0, bool))
+            ends.append((owner[at], owner[at + d]))
+        pairs = edge_table(*(np.concatenate(x) for x in zip(*ends)))
+        # larger ones as lists; equal ones once
+        name = W.mix(np.add.reduceat(W.mix(owner.astype(_U)), start) + many.astype(_U)) if len(start) else np.zeros(0, _U)
+        wide = np.flatnonzero(many > PAIRED)
+        wide = wide[np.unique(name[wide], return_index=True)[1]]
+        listed = np.zeros(len(start), bool)
+        listed[wide] = True
+        inside = np.repeat(listed, many)
+        lists = (np.repeat(name, many)[inside].view(np.int64), owner[inside])
+        none = lambda n: pa.nulls(n, pa.binary())
+        parts = [
+            (_SURE, sure.column(0), sure.column(1), none(len(sure))),
+            (_PAIR, pairs.column(0), pairs.column(1), none(len(pairs))),
+            (_LIST, pa.array(lists[0]), pa.array(lists[1]), none(len(lists[0]))),
+            (_SKETCH, pa.array(marks[:, 0]), pa.array(marks[:, 1]), blobs),
+        ]
+        return pa.concat_tables([pa.table([pa.array(np.full(len(u), kind, np.int8)), u, v, x], ["kind", "u", "v", "sketch"]) for kind, u, v, x in parts])
+
+    def pass_pairs(batches):
+        for b in batches:
+            u, v, a, c = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2, 4))
+            good = sketch_pairs(a, b.column(3).to_pylist(), c, b.column(5).to_pylist(), percent)
+            if good.any():
+                yield edge_table(u[good], v[good])
+
+    def pass_lists(batches):
+        for group in grouped(batches, ["list", "__i", "__j", "node", "n", "sketch"]):
+            links = sketch_links([r[3] for r in group], [r[4] for r in group], [r[5] for r in group], percent)
+            if links:
+                yield edge_table(*np.array(links, np.int64).T)
+
+    routed = base.mapInArrow(route, "bucket int, kind byte, keys binary, owners binary")
+    met = materialize(routed.groupBy("bucket").applyInArrow(meet, "kind byte, u long, v long, sketch binary"), "routes")
+    edges = met.where(F.col("kind") == _SURE).select("u", "v")
+    marks = met.where(F.col("kind") == _SKETCH).select(F.col("u").alias("node"), F.col("v").alias("n"), "sketch").distinct()
+    pairs = met.where(F.col("kind") == _PAIR).select("u", "v").distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(marks.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+    pairs = pairs.select("u", "v", "n_u", "s_u", "n_v", "s_v").mapInArrow(pass_pairs, "u long, v long")
+    lists = met.where(F.col("kind") == _LIST).select(F.col("u").alias("list"), F.col("v").alias("node")).distinct().join(marks, "node")
+    lists = in_blocks(lists.withColumn("words", F.octet_length("sketch") / 8), "list", "node", "words", block).mapInArrow(pass_lists, "u long, v long")
+    candidates = materialize(connected_components(pairs.unionByName(lists)).select(F.col("node").alias("__node"), F.col("component").alias("comp")), "candidates")
 
     def fetch(batches):
         for b in W.small_batches(batches, most=3 << 20):
@@ -251,7 +374,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
 
     members = rows.where("shingles IS NOT NULL").select("comp", "doc_id", "n", "shingles")
     links = in_blocks(members, "comp", "doc_id", "n", block).mapInArrow(verify, "u long, v long")
-    found = connected_components(links.unionByName(edges.where("sure").select("u", "v")))
+    found = connected_components(links.unionByName(edges))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("__n"), "component"), F.col("doc_id") == F.col("__n"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

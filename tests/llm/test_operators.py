@@ -9,8 +9,9 @@ import pytest
 
 from gridloom.llm import bpe_codec, curriculum, dac, gam, licence_scan, line_dedup, lsm_dedup, ngram_join, ring, token_fertility
 from gridloom.llm import words as W
-from gridloom.llm.common import connected_components
+from gridloom.llm.common import Forest, connected_components
 from gridloom.llm.encoder import CutEncoder
+from gridloom.runtime import materialize
 from tests.llm import helpers as H
 
 EMPTY = []
@@ -162,6 +163,39 @@ def test_ngram_join_edges(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} and kept.columns == H.frame(spark).columns
 
 
+def test_passages_in_common_make_no_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = make(60)
+    data = [(i, f"{make(20)} {passage} {make(20)}", None, None, 0) for i in range(60)]
+    data.append((60, data[0][1] + " end", None, None, 0))
+    written = {}
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label, *a: written.setdefault(label, materialize(df, label, *a)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.groups(H.frame(spark, data), 5, 80).collect()}
+    assert got == {i: i % 60 for i in range(61)}
+    assert {r[0] for r in written["candidates"].collect()} == {0, 60}
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 85):
+        for size in (1, 5, 63, 64, 130, 700):
+            base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            sets = [np.unique(np.concatenate((base[rng.random(size) < share], rng.integers(0, 1 << 63, size // 12).astype(np.uint64)))) for share in (1, 1, 0.97, 0.95, 0.93, 0.9, 0.8, 0.3)]
+            sets = [s for s in sets if len(s)]
+            n, marks, ids = [len(s) for s in sets], [ngram_join.sketch(s) for s in sets], list(range(len(sets)))
+            i, j = np.triu_indices(len(sets), 1)
+            passed = ngram_join.sketch_pairs(np.array(n)[i], [marks[x] for x in i], np.array(n)[j], [marks[x] for x in j], percent)
+            linked = [100 * ngram_join.overlap(sets[x], sets[y]) >= percent * len(np.union1d(sets[x], sets[y])) for x, y in zip(i, j)]
+            assert not (np.array(linked, bool) & ~passed).any()
+            trees, pairs = Forest(), Forest()
+            for u, v in ngram_join.sketch_links(ids, n, marks, percent):
+                trees.join(u, v)
+            for u, v in zip(i[passed].tolist(), j[passed].tolist()):
+                pairs.join(u, v)
+            assert [trees.top(x) for x in ids] == [pairs.top(x) for x in ids]
+
+
 def test_routes_lose_no_pair():
     rng = np.random.default_rng(5)
     for n in [1, 2, 3, 5, 6, 7, 9, 14, 30, 80, 300]:
