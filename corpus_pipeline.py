@@ -5,7 +5,8 @@ and returns a DataFrame; all but the last return the columns of documents.
 
 Of every stage: rows without doc_id or text, empty and very long texts, ties,
 repeated rows, empty tables and columns of any name are handled as the
-operator that it calls says; extra columns pass through unchanged.
+operator that it calls says; extra columns pass through unchanged. Each but
+the first begins by letting executors give free heap back.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe_codec, curriculum, gam, line_dedup, ngram_join
-from gridloom.runtime import materialize, ship
+from gridloom.runtime import give_back, materialize, ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,24 +26,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matches of lines go from the texts; a document that has no word left thereby goes too."""
     ship(spark)
+    give_back(spark)
     return line_dedup.clean(docs)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are linked by 5-word shingles at a similarity of 0.8, the one with the smallest doc_id stays."""
     ship(spark)
+    give_back(spark)
     return ngram_join.keep_one(docs, k=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, in training order."""
     ship(spark)
+    give_back(spark)
     return curriculum.mixed(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, encoded and decoded."""
     ship(spark)
+    give_back(spark)
     return bpe_codec.digests(docs)
 
 

@@ -290,6 +290,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int8(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "owners"])
 
     def meet(table: pa.Table) -> pa.Table:
+        W.release()
         kinds = table.column("kind").to_pylist()
         keys, owners = table.column("keys").to_pylist(), table.column("owners").to_pylist()
         join = lambda x, w, kind: np.frombuffer(b"".join(v for v, s in zip(x, kinds) if s == w), kind)
@@ -341,6 +342,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
             links = sketch_links([r[3] for r in group], [r[4] for r in group], [r[5] for r in group], percent)
             if links:
                 yield edge_table(*np.array(links, np.int64).T)
+        W.release()
 
     routed = base.mapInArrow(route, "bucket int, kind byte, keys binary, owners binary")
     met = materialize(routed.groupBy("bucket").applyInArrow(meet, "kind byte, u long, v long, sketch binary"), "routes")
@@ -371,6 +373,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 500_000,
             if links:
                 u, v = np.array(links, np.int64).T
                 yield edge_table(u, v)
+        W.release()
 
     members = rows.where("shingles IS NOT NULL").select("comp", "doc_id", "n", "shingles")
     links = in_blocks(members, "comp", "doc_id", "n", block).mapInArrow(verify, "u long, v long")

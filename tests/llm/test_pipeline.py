@@ -80,3 +80,11 @@ def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
             ids = {r["doc_id"] for r in rows}
             assert ids <= {r[0] for r in data} and 9002 in ids and (None in ids)
     assert P.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_stages_begin_with_collected_heaps(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    P.bpe_stage(spark, H.frame(spark, H.rows(n=1)), "")
+    assert full() > before
