@@ -142,3 +142,28 @@ def test_ranks_of_whole_tables_without_one_task(spark):
         assert out.columns == ["i", "x", "r"] and {r["i"]: r["r"] for r in out.collect()} == {i: None if v is None else want(v) for i, v in enumerate(values)}, name
     with pytest.raises(ValueError):
         call("RANK.EQ", F.col("x"))
+
+
+def test_routines_run_once_for_equal_rows():
+    import math
+
+    import pandas as pd
+
+    from gridloom.functions.cells.numeric import _series
+
+    calls = []
+
+    def f(x, y):
+        calls.append((x, y))
+        if y == "bad":
+            raise ValueError
+        return math.copysign(1.0, x) if y == "sign" else x
+
+    x = pd.Series([0.0, -0.0, 2.0, math.nan, 2.0] * 1000)
+    y = pd.Series(["sign", "sign", "bad", "sign", "id"] * 1000)
+    out = _series(f)(x, y).tolist()
+    assert len(calls) == 4
+    for k in range(0, 5000, 5):
+        assert out[k : k + 2] == [1.0, -1.0] and math.isnan(out[k + 2]) and math.isnan(out[k + 3]) and out[k + 4] == 2.0
+    assert _series(f)(x[:0], y[:0]).empty
+    assert _series(lambda v: float(sum(v)))(pd.Series([[1, 2], [1, 2], [3]])).tolist() == [3.0, 3.0, 3.0]
