@@ -30,6 +30,7 @@ from gridloom.runtime import discard, materialize
 
 MAGIC = b"GLDAC\0\1\0"
 BLOCK = 512
+READ = 1 << 14
 
 
 def _padded(raw: bytes) -> bytes:
@@ -100,8 +101,11 @@ class Segment:
         return value
 
     def document(self, d: int) -> np.ndarray:
-        """The ids of document d, by direct access: ranks are taken for its range only."""
-        lo, hi = int(self.starts[d]), int(self.starts[d + 1])
+        """The ids of document d, by direct access."""
+        return self.between(int(self.starts[d]), int(self.starts[d + 1]))
+
+    def between(self, lo: int, hi: int) -> np.ndarray:
+        """The ids from lo to hi, by direct access: ranks are taken for this range only."""
         values = np.zeros(hi - lo, np.uint32)
         where = np.arange(hi - lo)
         for k, (low, bitmap, ranks) in enumerate(self.levels):
@@ -193,9 +197,10 @@ def write(docs: DataFrame, path: str | None = None, end_id: int | None = 2, most
 def read_back(files: DataFrame) -> DataFrame:
     """From the segments: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Each document is read by direct access through the rank directories of
-    its segment. Null doc_ids, documents without ids, documents longer than a
-    segment and repeated rows come back as they were written; no segment, no rows.
+    Documents are read by direct access through the rank directories of
+    their segment, neighbouring short ones together. Null doc_ids, documents
+    without ids, documents longer than a segment and repeated rows come back
+    as they were written; no segment, no rows.
     """
     seg = files.select("part", "segment", "n_tokens")
     parts = seg.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -209,7 +214,12 @@ def read_back(files: DataFrame) -> DataFrame:
             for part, number, m, doc_ids, nulls, codes in zip(*(b.column(c).to_pylist() for c in ("part", "segment", "documents", "doc_ids", "null_ids", "codes"))):
                 seg = Segment(codes)
                 cut = seg.starts.astype(np.int64)
-                crc = [zlib.crc32(seg.document(d).astype("<u4")) for d in range(m)]
+                crc, d = [], 0
+                while d < m:  # neighbours are read together, up to READ ids or one longer document
+                    to = max(d + 1, int(np.searchsorted(cut, cut[d] + READ, side="right")) - 1)
+                    own, edge = seg.between(int(cut[d]), int(cut[to])).astype("<u4"), (cut[d : to + 1] - cut[d]).tolist()
+                    crc += [zlib.crc32(own[x:y]) for x, y in zip(edge[:-1], edge[1:])]
+                    d = to
                 missing = np.unpackbits(np.frombuffer(nulls, np.uint8), count=m).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, number, np.int32)), pa.array(np.frombuffer(doc_ids, "<i8"), mask=missing), pa.array(cut[:-1]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())], ["part", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"])
 

@@ -21,8 +21,8 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
@@ -73,6 +73,14 @@ def _segments(data: np.ndarray, offs: np.ndarray):
         lo = hi
 
 
+def span_hashes(part: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges s to e of part."""
+    p, inv = _power_tables(len(part))
+    total = np.zeros(len(part) + 1, _U)
+    np.cumsum((part.astype(_U) + _U(1)) * p[: len(part)], out=total[1:])
+    return mix((total[e] - total[s]) * inv[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = False):
     """(first, hashes[, starts, ends]): words first[i]:first[i+1] are those of text i."""
     hashes, starts, ends = [], [], []
@@ -88,10 +96,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = F
         to = word.copy()
         to[:-1] &= blank[1:] | begin[1:-1]
         s, e = np.flatnonzero(at), np.flatnonzero(to) + 1
-        p, inv = _power_tables(hi - lo)
-        total = np.zeros(hi - lo + 1, _U)
-        np.cumsum(((_LOWER[part] if lower else part).astype(_U) + _U(1)) * p[: hi - lo], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * inv[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)))
+        hashes.append(span_hashes(LOWER[part] if lower else part, s, e))
         starts.append(s + lo)
         if spans:
             ends.append(e + lo)
@@ -102,8 +107,12 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = F
 
 
 def distinct_runs(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each kind, kind of each word): words of one hash are one kind if their bytes agree too."""
-    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    """(a word of each kind, kind of each word): words of one hash are one kind if their bytes agree too."""
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    at, which = order[new], np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
     size = ends - starts
     place = np.flatnonzero(~IS_SPACE[data])
     if (size != size[at][which]).any() or (data[place] != data[place - np.repeat(starts - starts[at][which], size)]).any():

@@ -298,6 +298,34 @@ def test_columns_encode_as_texts_do():
         assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(edge[:-1], edge[1:])] == [dac.E.encode_packed(path, t or "") for t in part]
 
 
+@H.needs_files
+def test_plain_runs_are_cut_as_arrays_and_their_fragments_remembered(monkeypatch):
+    path = dac.token_file("word_bpe_49k.json")
+    asked, single = [], []
+    bulk, pieces = CutEncoder._bulk, CutEncoder.pieces
+    monkeypatch.setattr(CutEncoder, "_bulk", staticmethod(lambda tokenizer, fragments, *more: asked.extend(fragments) or bulk(tokenizer, fragments, *more)))
+    monkeypatch.setattr(CutEncoder, "pieces", lambda enc, chunk: single.append(chunk) or pieces(enc, chunk))
+    monkeypatch.setattr(dac.E, "_by_path", {})
+    words = ["Qzxvéß", "thÀÖ!", "ØÞßàö÷", "ab×", "É" * 40, "A" * 70_000 + "é" * 9 + "!!", "it's", "a1b", "<|endoftext|>", "a<b", "Ã", "Ã.", "\u0178a", "x\u0301", "."]
+
+    def encoded(texts):
+        asked.clear()
+        single.clear()
+        ids, edge = dac.E.encode_column(path, pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])], list(single)
+
+    texts = [" ".join(words), *words, *map(str.lower, words), "".join(words), None]
+    lib = dac.E.Tokenizer.from_file(path)
+    got, one_by_one = encoded(texts)
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not {"Qzxvéß", "thÀÖ!", "É" * 40} & set(one_by_one) and {"it's", "a1b", "<|endoftext|>"} <= set(one_by_one)
+    got, one_by_one = encoded(["QZXVéß THàö! Qzxvéß!"])  # other runs of the same fragments
+    assert got == [lib.encode("QZXVéß THàö! Qzxvéß!", add_special_tokens=False).ids] and not asked and not one_by_one
+    dac.E.encoder(path).most_known = 0  # forgets at once
+    for t in ("Hé there, hé", "hé there!"):
+        assert encoded([t])[0] == [lib.encode(t, add_special_tokens=False).ids]
+
+
 def test_memo_forgets_by_bytes():
     from gridloom.llm.encoder import Memo
 
