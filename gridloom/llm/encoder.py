@@ -172,7 +172,7 @@ class CutEncoder:
 
     def cut(self, part: np.ndarray, head: np.ndarray):
         """(bytes, begins, kinds) of the units of the runs that begin at head: fragments of lower-cased plain runs, other runs as they are."""
-        kind, low = _CLASS[part], W.LOWER[part]
+        kind, low = _CLASS[part], W.lowered(part)
         lead = np.flatnonzero(part[:-1] == 0xC3)
         after = part[lead + 1]
         letter = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)  # composed letters

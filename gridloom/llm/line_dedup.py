@@ -219,6 +219,41 @@ def _fits(e: dict, x: np.ndarray, y: np.ndarray, percent: int):
     return at[keep], differ[keep], (likely | full)[keep]
 
 
+def _allowed(size: np.ndarray, percent: int) -> np.ndarray:
+    """For each size a share of the parity distance that _fits allows: those of two sets add up to as much or more, or to all of 64 bits."""
+    return np.where(size == _FULL, 64, np.minimum(size.astype(np.int64) * (100 - percent) // (100 + percent) + 1, 64)).astype(np.uint8)
+
+
+def _runs(same: np.ndarray) -> np.ndarray:
+    """Which rows are equal to the one before or after; same: which are equal to the one before, without the first."""
+    out = np.zeros(len(same) + 1, bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def _by_place(entries: np.ndarray) -> np.ndarray:
+    """Row numbers of the entries whose key another one has, by key, doc, rid, line and place."""
+    if not len(entries):
+        return np.zeros(0, np.int64)
+    doc = entries["doc"]
+    known = doc[doc != _NONE]
+    low = int(known.min()) - 1 if len(known) else 0
+    if len(known) and int(known.max()) - low >= 1 << 32:
+        order = np.argsort(entries["key"])
+        order = order[_runs(np.diff(entries["key"][order]) == 0)]
+        return order[np.lexsort([entries[c][order] for c in ("place", "line", "rid", "doc", "key")])]
+    both = (entries["key"].astype(_U) << _U(32)) | np.where(doc != _NONE, doc - low, 0).astype(_U)
+    order = np.argsort(both)
+    both = both[order]
+    many = _runs((both[1:] >> _U(32)) == (both[:-1] >> _U(32)))
+    order, both = order[many], both[many]
+    tied = np.flatnonzero(_runs(both[1:] == both[:-1])) if len(both) else np.zeros(0, np.int64)
+    own = order[tied]
+    order[tied] = own[np.lexsort([entries[c][own] for c in ("place", "line", "rid")] + [both[tied]])]
+    return order
+
+
 def candidates(entries: np.ndarray, wide: np.ndarray, percent: int, most: int | None, best: int, small: int = 64):
     """(later line, earlier line, whether others were left out) as row numbers of entries.
 
@@ -229,14 +264,7 @@ def candidates(entries: np.ndarray, wide: np.ndarray, percent: int, most: int |
     from the earliest line on until a line has found enough. With most None
     all are taken, for entries marked as asked only.
     """
-    order = np.argsort(entries["key"], kind="stable")
-    key = entries["key"][order]
-    many = np.zeros(len(key), bool)
-    same = key[1:] == key[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    order = order[many]
-    order = order[np.lexsort([entries[c][order] for c in ("place", "line", "rid", "doc", "key")])]
+    order = _by_place(entries)
     e: dict = {c: np.ascontiguousarray(entries[c][order]) for c in _ENTRY.names}
     if len(order):  # rows that are equal in doc_id and text come from several tasks
         again = np.ones(len(order), bool)
@@ -254,6 +282,7 @@ def candidates(entries: np.ndarray, wide: np.ndarray, percent: int, most: int |
     end = np.repeat(start + size, size)
     xs, ys, ds, ls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
     stopped = np.zeros(n, bool)
+    parity, allowed = e["parity"], _allowed(e["size"], percent)
 
     def add(x, y):
         at, d, likely = _fits(e, x, y, percent)
@@ -269,6 +298,7 @@ def candidates(entries: np.ndarray, wide: np.ndarray, percent: int, most: int |
         if not len(y):
             break
         use = y if most is not None else y[asked[y + step]]
+        use = use[np.bitwise_count(parity[use] ^ parity[use + step]) <= allowed[use] + allowed[use + step]]
         add(use + step, use)
     for s, m in zip(start[size > small].tolist(), size[size > small].tolist()):
         for a in range(s, s + m, 256):
@@ -284,12 +314,13 @@ def candidates(entries: np.ndarray, wide: np.ndarray, percent: int, most: int |
                     if not len(x):
                         break
                 y2 = np.arange(lo, min(lo + width, int(x[-1])))
-                u, v = np.repeat(x, len(y2)), np.tile(y2, len(x))
+                u, v = np.nonzero(np.bitwise_count(parity[x][:, None] ^ parity[y2]) <= allowed[x][:, None] + allowed[y2])
+                u, v = x[u], y2[v]
                 before = v < u
                 hit, likely = add(u[before], v[before])
                 found += np.bincount(hit - a, minlength=256)
                 good += np.bincount(hit[likely] - a, minlength=256)
-                lo, width = lo + width, min(4096, width * 4)
+                lo, width = lo + width, min(1024, width * 4)
     x, y, d, likely = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds), np.concatenate(ls)
     more = np.zeros(len(x), bool)
     if most is not None and len(x):

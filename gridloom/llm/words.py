@@ -21,11 +21,14 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
+def lowered(part: np.ndarray) -> np.ndarray:
+    """Bytes with A to Z in lower case."""
+    return part + (((part - np.uint8(65)) < 26).view(np.uint8) << 5)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> _U(33))
@@ -35,7 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For 0 to n - 1 at least: powers of the base, of its inverse, and what a word of that size adds to its bytes' sum (each byte counts one more)."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 2 * SEGMENT)
         made = []
@@ -43,8 +47,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, _U)
             p[0] = 1
             made.append(np.cumprod(p, dtype=_U))
+        made.append(np.concatenate((np.zeros(1, _U), np.cumsum(made[0], dtype=_U)[:-1])) + np.arange(size, dtype=_U) * _U(0xD6E8FEB86659FD93))
         _powers[:] = made
-    return _powers[0], _powers[1]
+    return _powers[0], _powers[1], _powers[2]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +80,12 @@ def _segments(data: np.ndarray, offs: np.ndarray):
 
 def span_hashes(part: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges s to e of part."""
-    p, inv = _power_tables(len(part))
-    total = np.zeros(len(part) + 1, _U)
-    np.cumsum((part.astype(_U) + _U(1)) * p[: len(part)], out=total[1:])
-    return mix((total[e] - total[s]) * inv[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
+    p, inv, by_size = _power_tables(len(part) + 1)
+    total = np.empty(len(part) + 1, _U)
+    total[0] = 0
+    np.multiply(part, p[: len(part)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
+    return mix((total[e] - total[s]) * inv[s] + by_size[e - s])
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = False):
@@ -86,7 +93,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = F
     hashes, starts, ends = [], [], []
     for lo, hi in _segments(data, offs):
         part = data[lo:hi]
-        blank = IS_SPACE[part]
+        blank = (part == 0x20) | ((part - np.uint8(9)) < 5)
         begin = np.zeros(hi - lo + 1, bool)
         begin[offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi)] - lo] = True
         begin[0] = begin[-1] = True
@@ -96,7 +103,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool, spans: bool = F
         to = word.copy()
         to[:-1] &= blank[1:] | begin[1:-1]
         s, e = np.flatnonzero(at), np.flatnonzero(to) + 1
-        hashes.append(span_hashes(LOWER[part] if lower else part, s, e))
+        hashes.append(span_hashes(lowered(part) if lower else part, s, e))
         starts.append(s + lo)
         if spans:
             ends.append(e + lo)

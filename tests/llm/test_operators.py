@@ -128,6 +128,32 @@ def test_large_groups_give_the_nearest_and_say_so():
         assert all(m or count[i] == all_[i] for i, m in zip(x.tolist(), more.tolist()))
 
 
+def test_pairs_too_far_in_parity_are_not_looked_at(monkeypatch):
+    rng, looked, fits = np.random.default_rng(4), [], line_dedup._fits
+    monkeypatch.setattr(line_dedup, "_fits", lambda e, x, y, percent: looked.append(len(x)) or fits(e, x, y, percent))
+    n = 400
+    e = np.zeros(n, line_dedup._ENTRY)
+    e["key"], e["size"], e["rid"], e["line"] = np.arange(n) % 9 // 8 * (1 + np.arange(n) % 30), rng.integers(8, 30, n), rng.permutation(n), rng.integers(0, 3, n)
+    e["doc"] = rng.choice([line_dedup._NONE, 5, 1 << 50], n)
+    e["parity"] = rng.integers(0, 1 << 63, 12).astype(np.uint64)[rng.integers(0, 12, n)] ^ (np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64))
+    e["size"][::50] = line_dedup._FULL
+    wide = np.zeros((int((e["size"] > 100).sum()), 3), np.uint64)
+    for percent in (60, 80, 100):
+        for far in (False, True):
+            e["doc"] = np.where(e["doc"] > 5, 1 << 50 if far else 9, e["doc"])
+            looked.clear()
+            asked = e.copy()
+            asked["place"] = line_dedup._ASKED
+            x, y, _ = line_dedup.candidates(asked, wide, percent, None, 1)
+            spot = [(r["doc"], r["rid"], r["line"]) for r in e]
+            a, b = np.array([(i, j) for i in range(n) for j in range(n) if e["key"][i] == e["key"][j] and spot[j] < spot[i]]).T
+            size, need = e["size"].astype(int), -(-percent * (e["size"][a].astype(int) + e["size"][b]) // (100 + percent))
+            full = np.maximum(size[a], size[b]) == line_dedup._FULL
+            fit = full | ((need <= np.minimum(size[a], size[b])) & (np.bitwise_count(e["parity"][a] ^ e["parity"][b]) <= size[a] + size[b] - 2 * need))
+            assert set(zip(x.tolist(), y.tolist())) == set(zip(a[fit].tolist(), b[fit].tolist())) and fit.any()
+            assert sum(looked) < len(a) / 2
+
+
 def test_long_sets_carry_more_parity():
     a = list(range(1000, 1200))
     b = a[:190] + list(range(5000, 5010))
