@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import small_or_shuffled
 from gridloom.runtime import materialize
 
 _NONE = np.iinfo(np.int64).min  # stands for a null doc_id in runs
@@ -86,7 +88,7 @@ def _flush(table: dict[bytes, tuple[int, int, int]], buckets: int):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in RUNS.split(", ")])
 
 
-def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000, bucket_rows: int = 500_000) -> DataFrame:
+def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000, bucket_rows: int = 50_000) -> DataFrame:
     """(digest, keep_id, keep_row, n) of the digests that two or more rows of (doc_id, row_id, sha) share.
 
     Each task fills memtables of at most `memtable` digests and flushes them
@@ -94,9 +96,11 @@ def index(rows: DataFrame, digest_bytes: int, memtable: int = 50_000, bucket_row
     at a time, and keeps the largest doc_id, then the smallest row_id. A group
     of copies is one entry in each memtable, so no bucket holds more than its
     share of distinct digests and one entry for each flush. There is a bucket
-    for every `bucket_rows` rows, so buckets do not grow with the input.
+    for every `bucket_rows` rows, so buckets do not grow with the input, and
+    no more files and tasks with rows than these, however many partitions a
+    shuffle has.
     """
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bucket_rows))
+    buckets = max(1, -(-rows.count() // bucket_rows))
 
     def fill(batches):
         table: dict[bytes, tuple[int, int, int]] = {}
@@ -133,6 +137,18 @@ def _folded(text) -> F.Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@contextmanager
+def _text_batches(spark: SparkSession, size: str = "4m"):
+    """While texts go to Python, Arrow batches of this size at most (or of one longer text): each is held in the JVM and the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def collisions(docs: DataFrame, found: DataFrame, digest_bytes: int) -> DataFrame:
     """Digests of the index under which texts of different bytes are found: the byte verification of all hits.
 
@@ -170,7 +186,7 @@ def collisions(docs: DataFrame, found: DataFrame, digest_bytes: int) -> DataFram
     return texts.groupBy("digest").count().where("count > 1").select("digest")
 
 
-def dedup(docs: DataFrame, digest_bytes: int = 32, memtable: int = 50_000) -> DataFrame:
+def dedup(docs: DataFrame, digest_bytes: int = 32, memtable: int = 50_000, small: int = 500_000) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal text (after lower-casing A-Z; null counts as empty),
@@ -179,18 +195,20 @@ def dedup(docs: DataFrame, digest_bytes: int = 32, memtable: int = 50_000) -> Da
     32 makes different texts share digests; byte verification finds these,
     and their rows are grouped by the texts themselves. Very long texts are
     hashed and compared whole. An empty table gives an empty result; other
-    columns are not read.
+    columns are not read. An index of at most `small` digests is sent to the
+    tasks that hold the rows, a larger one meets them in a shuffle.
     """
     base = docs.select(F.col("doc_id").cast("long"), _folded(F.col("text")).cast("binary").alias("text"))
     rows = materialize(base.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).withColumn("row_id", F.monotonically_increasing_id()), "digests")
     found = materialize(index(rows, digest_bytes, memtable), "index")
-    bad = materialize(collisions(docs, found, digest_bytes), "collisions")
+    with _text_batches(docs.sparkSession):
+        bad = materialize(collisions(docs, found, digest_bytes), "collisions")
     rows = rows.withColumn("digest", F.substring("sha", 1, digest_bytes))
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     clean = rows
     if not bad.isEmpty():
         clean = rows.join(bad, "digest", "left_anti")
-    joined = clean.join(found, "digest", "left")
+    joined = clean.join(small_or_shuffled(found, small), "digest", "left")
     result = joined.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (F.col("n").isNull() | (F.col("row_id") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")).select(*out)
     if bad.isEmpty():
         return result

@@ -417,6 +417,49 @@ def test_exact_dedup(spark, digest_bytes, memtable):
     assert lsm_dedup.dedup(H.frame(spark, EMPTY)).count() == 0
 
 
+def test_exact_dedup_fills_few_partitions(spark):
+    """However many partitions a shuffle has, a small index and its rows stay in few, each of which is a file."""
+    from pyspark.sql import functions as F
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in held}
+    texts = [f"text {i // 2}" for i in range(600)] + [f"single {i}" for i in range(50)] + ["THE SAME"] * 300
+    docs = H.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    last = {t: i for i, t in enumerate(texts)}
+    sizes = Counter(texts)
+    want = Counter((i, last[t], sizes[t], i == last[t], hashlib.sha256(t.translate(H.LOW).encode()).hexdigest()) for i, t in enumerate(texts))
+    used = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = docs.select("doc_id", F.col("doc_id").alias("row_id"), F.unhex(F.sha2("text", 256)).alias("sha"))
+        assert used(lsm_dedup.index(rows, 32)) == 1
+        out = lsm_dedup.dedup(docs)
+        assert used(out) <= 5 and H.counted(out.collect()) == want
+        for bucket_rows in (100, 7):
+            assert lsm_dedup.index(rows, 32, 50, bucket_rows).count() == 301
+        assert H.counted(lsm_dedup.dedup(docs, small=0).collect()) == want  # the shuffled join
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+
+
+def test_exact_dedup_sends_texts_in_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    was = spark.conf.get(key)
+
+    def write(df, label):
+        seen[label] = spark.conf.get(key)
+        return materialize(df, label)
+
+    monkeypatch.setattr(lsm_dedup, "materialize", write)
+    data = [(i, f"{i // 2} " + "x" * 700_000, None, None, 0) for i in range(40)]  # 28 MB, and some texts of 6 MB
+    data += [(i, "y" * 6_000_000, None, None, 0) for i in range(40, 43)]
+    out = lsm_dedup.dedup(H.frame(spark, data)).select("doc_id", "keep_id", "group_size").collect()
+    assert seen["collisions"] == "4m" and spark.conf.get(key) == was
+    assert H.counted(out) == Counter((i, i | 1, 2) if i < 40 else (i, 42, 3) for i in range(43))
+
+
 # --- 6 BPE
 
 
